@@ -92,6 +92,8 @@ class BpeAutomaton:
         word, kind = self.text[right]
         if left == self.start:
             return self.brute(word, bool(kind)) == [right]
+        if self.merge(left, right) is not None:
+            return False  # the pair itself would merge
         return self.brute(self.text[left][0] + word, bool(kind)) == [left, right]
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
