@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, tiff, token_counts, warc
+from . import exact_dedup, packing, piece_fst, secrets, tiff, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.encode_decode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -41,13 +54,17 @@ def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_segments": op1_warc_segments,
+    "op2_piece_fst": op2_piece_fst,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op9_tiff_pages": op9_tiff_pages,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op6_secret_scan": secrets.oracle(),
     "op1_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
