@@ -40,7 +40,7 @@ DIGITS = dict(zip("0134578@$!|", "oieastbasil"))
 #: Phrases in which an entry is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser bracket", "scum filter")
 
-_PREFIXES = range(3, 8)
+_PREFIXES = range(4, 8)
 
 
 class _Fold(dict):
@@ -132,11 +132,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return (float(w[0]), float(w[1] / scale[0]), float(w[2] / scale[1]))
 
 
-def cover(entries: list[str], has: list[list[int]], least: int, most: int, fold_cover: int = 2) -> list[str]:
+def cover(entries: list[str], purity: list[float], has: list[list[int]], least: int, most: int, fold_cover: int = 6) -> list[str]:
     """Greedy cover: entries that explain at least ``least`` rows not yet explained ``fold_cover`` times.
 
     Words that copies of one toxic text happen to share explain nothing new
-    and stay out. Among beginnings of one word the longest that explains
+    and stay out; ``purity`` multiplies what an entry explains. Among beginnings of one word the longest that explains
     nearly as much is taken.
     """
     rows_of: list[set[int]] = [set() for _ in entries]
@@ -151,7 +151,7 @@ def cover(entries: list[str], has: list[list[int]], least: int, most: int, fold_
         live = {e for e in live if gain[e] >= least}
         if not live:
             break
-        top = min(live, key=lambda e: (-gain[e], entries[e]))
+        top = min(live, key=lambda e: (-gain[e] * purity[e], entries[e]))
         best = max((e for e in live if entries[e].startswith(entries[top]) and gain[e] >= 0.97 * gain[top]), key=lambda e: (len(entries[e]), entries[e]))
         chosen.append(entries[best])
         for r in rows_of[best]:
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["has"])
 
     has = rows.filter("toxic = 1").select("text").mapInArrow(hold, "has array<int>").toArrow().column(0).to_pylist()  # ``sample`` rows at most
-    weights = {e: odd[e] for e in cover(sorted(odd), has, max(least, -(-n_toxic // 100)), entries)}
+    weights = {e: odd[e] for e in cover(sorted(odd), [odd[e] ** 2 for e in sorted(odd)], has, max(least, -(-n_toxic // 100)), entries)}
     draft = Lexicon(weights, list(EXCEPTIONS), (0.0, 0.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
