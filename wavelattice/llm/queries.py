@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, piece_fst, secrets, tiff, token_counts, toxicity, warc
+from . import exact_dedup, packing, piece_fst, secrets, substring_dedup, tiff, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(_table(spark, sf_dir, "documents"))
 
@@ -59,11 +63,23 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_tiff_pages": op9_tiff_pages,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+        late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id),
+        gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM late)),
+        g AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+        kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS t
+                 FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+                 ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op6_secret_scan": secrets.oracle(),
     "op1_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -92,3 +92,25 @@ def open_input(uri: str):
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, hashed, keys: DataFrame, key_hashed) -> DataFrame:
+    """``rows`` without most of those whose hash no row of ``keys`` has.
+
+    The keys' hashes set bits of a map of ``_BITS`` bits (4 MiB whatever the
+    number of keys), which is broadcast. It only spares a shuffle: rows that
+    pass by chance are for the join that follows.
+    """
+    place = lambda h: F.pmod(h, F.lit(_BITS)) + 1
+    bits = (
+        keys.select(place(key_hashed).alias("__p"))
+        .groupBy(F.bitmap_bucket_number("__p").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    )
+    marked = rows.withColumn("__p", place(hashed)).withColumn("__bucket", F.bitmap_bucket_number("__p"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int))")) != 0
+    return marked.join(F.broadcast(bits), "__bucket").filter(hit).drop("__p", "__bucket", "__bits")
