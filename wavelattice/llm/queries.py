@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, piece_fst, secrets, substring_dedup, tiff, token_counts, toxicity, warc
+from . import exact_dedup, jaccard_join, packing, piece_fst, secrets, substring_dedup, tiff, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_tiff_pages": op9_tiff_pages,
     "op10_exact_dedup": op10_exact_dedup,
 }
