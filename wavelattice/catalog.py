@@ -1,4 +1,334 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries and their DuckDB equivalents.
+
+The tables hold no audio: frames are the synthetic views of ``model``.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import commands
+from .model import EMBEDDINGS_SQL, EVENTS_SQL, digest, digest_sql, frames_embeddings, frames_events, rejects
+from .operators import asof, features, stateful, timeline
+from .operators import pointwise as pw
+from .operators.stateful import OUT, ordered_fold
+from .sources import pcm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _register(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+def _map(name: str, op, sql: str | None, of: str = "emb", channels: int = 1, where: str = "true", **params) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = frames_embeddings(spark, sf_dir, channels) if of == "emb" else frames_events(spark, sf_dir)
+        return digest(op(frames, **params))
+
+    _register(name, query, sql and digest_sql(sql, of, where))
+
+
+def _each(expr: str) -> str:
+    return f"list_transform(samples, lambda x, i: CAST({expr.replace('{x}', 'x::DOUBLE')} AS FLOAT))"
+
+
+# -- one frame to one frame ---------------------------------------------------
+_map("gain", pw.gain, _each("{x} * 1.5"), linear=1.5)
+_map("compressor", pw.compressor, _each("CASE WHEN abs({x}) > 0.1 THEN sign({x}) * (0.1 + (abs({x}) - 0.1) / 4) ELSE {x} END * 1.25"), threshold=0.1, ratio=4.0, makeup=1.25)
+_map("expander", pw.expander, _each("CASE WHEN abs({x}) < 0.05 THEN sign({x}) * 0.05 * pow(abs({x}) / 0.05, 2) ELSE {x} END"))
+_map("limiter", pw.limiter, _each("least(greatest({x}, -0.1::FLOAT), 0.1::FLOAT)"), threshold=0.1)
+_map("noise_gate", pw.noise_gate, _each("CASE WHEN abs({x}) < 0.05 THEN {x} * 0.5 ELSE {x} END"), threshold=0.05, closed_gain=0.5)
+_map("normalize", pw.normalize, _each("{x} * 0.9 / list_max(list_transform(samples, lambda y: abs(y)))"))
+for _kind, _a, _b in (("hann", 0.5, 0.5), ("hamming", 0.54, 0.46)):
+    _map(f"window_{_kind}", pw.window, _each(f"{{x}} * ({_a} - {_b} * cos(2 * pi() * (i - 1) / 63))"), kind=_kind, expected_frames=64)
+_map("trim", pw.trim, "samples[9:60]", leading=8, trailing=4)
+_map("dc_offset_removal", pw.dc_offset_removal, _each("{x} - list_avg(list_transform(samples, lambda y: y::DOUBLE))"))
+_map("dc_offset_removal_stereo", pw.dc_offset_removal, _each("{x} - list_avg(list_transform(list_filter(samples, lambda y, j: j % 2 = i % 2), lambda y: y::DOUBLE))"), channels=2)
+_map("declick", pw.declick, None, delta=0.2, max_samples=2)
+_c, _s = math.cos(1.25 * math.pi / 4), math.sin(1.25 * math.pi / 4)
+_map("pan", pw.pan, _each(f"{{x}} * CASE WHEN i % 2 = 1 THEN {_c!r} ELSE {_s!r} END"), channels=2, position=0.25)
+_map("stereo_widening", pw.stereo_widening, _each("CASE WHEN i % 2 = 1 THEN (samples[i]::DOUBLE + samples[i + 1]) / 2 + (samples[i]::DOUBLE - samples[i + 1]) / 2 * 1.5 ELSE (samples[i - 1]::DOUBLE + samples[i]) / 2 - (samples[i - 1]::DOUBLE - samples[i]) / 2 * 1.5 END"), channels=2, width=1.5)
+_quad = "list_transform(range(0, 16), lambda k: CAST((samples[4 * k + 1]::DOUBLE + samples[4 * k + 2] + samples[4 * k + 3] + samples[4 * k + 4]) / 4 AS FLOAT))"
+_map("downmix_mono", pw.downmix, _quad, channels=4, mode="average_to_mono")
+_map("downmix_stereo", pw.downmix, "list_transform(range(0, 32), lambda k: CAST((samples[4 * (k // 2) + 1 + k % 2]::DOUBLE + samples[4 * (k // 2) + 3 + k % 2]) / 2 AS FLOAT))", channels=4)
+_map("upmix_mono", pw.upmix, "list_transform(range(0, 128), lambda k: samples[k // 2 + 1])")
+_register("upmix_stereo", lambda s, d: digest(pw.upmix(frames_embeddings(s, d, 2), "stereo_pair_duplicate", 4)), digest_sql("list_transform(range(0, 128), lambda k: samples[2 * (k // 4) + k % 2 + 1])"))
+_map("beamforming", pw.beamforming, "list_transform(range(0, 16), lambda k: CAST(samples[4 * k + 1]::DOUBLE * 0.5 + samples[4 * k + 2]::DOUBLE * 0.25 - samples[4 * k + 3]::DOUBLE * 0.125 AS FLOAT))", channels=4, weights=[0.5, 0.25, -0.125, 0.0])
+_map("channel_convert_stereo", pw.channel_convert, "list_transform(range(0, 128), lambda k: samples[k // 2 + 1])")
+_map("channel_convert_mono", pw.channel_convert, "list_transform(range(0, 32), lambda k: CAST((samples[2 * k + 1]::DOUBLE + samples[2 * k + 2]) / 2 AS FLOAT))", channels=2, mode="stereo_to_mono_average")
+_map("interleave_planar", pw.interleave, "list_transform(range(0, 64), lambda k: samples[(k % 32) * 2 + k // 32 + 1])", channels=2)
+_map("interleave_back", pw.interleave, "list_transform(range(0, 64), lambda k: samples[(k % 2) * 32 + k // 2 + 1])", channels=2, to="interleaved")
+for _name in ("aec_nn_passthrough", "denoise_passthrough", "loopback"):
+    _map(_name, pw.passthrough, "samples", stream_id="out")
+_map("sample_format_round_trip", lambda f: pw.from_pcm(pw.to_pcm16(f)), _each("round({x} * CASE WHEN {x} < 0 THEN 32768 ELSE 32767 END) / 32768"))
+_map("bit_depth", lambda f: pw.from_pcm(pw.bit_depth(pw.to_pcm16(f)), 32), _each("round({x} * CASE WHEN {x} < 0 THEN 32768 ELSE 32767 END) / 32768"))
+_map("sidechain", pw.sidechain, f"[CAST(CASE WHEN sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x)) / len(samples)) >= 0.06 THEN {10 ** -0.6!r} ELSE 1.0 END AS FLOAT)]", of="ev", threshold_rms=0.06)
+
+
+def latency_compensation(spark, sf_dir):
+    return pw.latency_compensation(frames_embeddings(spark, sf_dir), -10.5).select("source_id", "seq", "stamp_ns")
+
+
+_register("latency_compensation", latency_compensation, f"WITH {EMBEDDINGS_SQL} SELECT source_id, seq, seq * 4000000 - 10500000 AS stamp_ns FROM emb WHERE seq * 4000000 - 10500000 >= 0")
+
+
+def time_alignment(spark, sf_dir):
+    return pw.time_alignment(frames_embeddings(spark, sf_dir), 10.0, 1.0, 2.0).select("source_id", "seq", "stamp_ns")
+
+
+_register("time_alignment", time_alignment, f"WITH {EMBEDDINGS_SQL}, t AS (SELECT source_id, seq, seq * 4000000 AS s, (1000000 + round((seq * 4000000 - 1000000) / 10000000.0) * 10000000)::BIGINT AS stamp_ns FROM emb) SELECT source_id, seq, stamp_ns FROM t WHERE abs(stamp_ns - s) <= 2000000")
+
+
+def bus_router(spark, sf_dir):
+    return pw.bus_router(frames_embeddings(spark, sf_dir), ["a", "b", "c"]).groupBy("stream_id", "source_id").agg(F.count("*").alias("n"))
+
+
+_register("bus_router", bus_router, "SELECT unnest(['a', 'b', 'c']) AS stream_id, CAST(label AS VARCHAR) AS source_id, count(*) AS n FROM embeddings GROUP BY label")
+
+
+def patchbay(spark, sf_dir):
+    both = frames_embeddings(spark, sf_dir).unionByName(frames_events(spark, sf_dir))
+    return pw.patchbay(both, [("emb", "x"), ("emb", "y"), ("ev", "y"), ("none", "z")]).groupBy("stream_id").agg(F.count("*").alias("n"))
+
+
+_register("patchbay", patchbay, f"WITH {EMBEDDINGS_SQL}, {EVENTS_SQL} SELECT r AS stream_id, count(*) AS n FROM (SELECT unnest(['x', 'y']) AS r FROM emb UNION ALL SELECT 'y' FROM ev) GROUP BY r")
+
+
+def loudness(spark, sf_dir):
+    out = pw.loudness(frames_events(spark, sf_dir))
+    return out.select("source_id", "seq", *(F.round(c, 5).alias(c) for c in ("rms", "peak", "rms_dbfs", "peak_dbfs", "crest")))
+
+
+_register("loudness", loudness, f"""WITH {EVENTS_SQL}, m AS (SELECT source_id, seq, sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x)) / len(samples)) AS rms, list_max(list_transform(samples, lambda x: abs(x)))::DOUBLE AS peak FROM ev)
+SELECT source_id, seq, round(rms, 5) AS rms, round(peak, 5) AS peak, round(CASE WHEN rms > 0 THEN greatest(20 * log10(rms), -120) ELSE -120 END, 5) AS rms_dbfs, round(CASE WHEN peak > 0 THEN greatest(20 * log10(peak), -120) ELSE -120 END, 5) AS peak_dbfs, round(CASE WHEN rms > 0 THEN peak / rms ELSE 0 END, 5) AS crest FROM m""")
+
+
+def minimum_slice(spark, sf_dir):
+    """Events to frames, contract, half gain, level, and a summary for each source with its rejects."""
+    frames = frames_events(spark, sf_dir, 256.0)
+    level = pw.loudness(pw.gain(frames, 0.5)).groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("rms"), 5).alias("avg_rms"), F.round(F.max("peak"), 5).alias("max_peak"))
+    lost = rejects(frames, "gain").groupBy("source_id").agg(F.count("*").alias("rejected"))
+    return level.join(lost, "source_id", "full").select("source_id", F.coalesce("n", F.lit(0)).alias("n"), "avg_rms", "max_peak", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+_register("minimum_slice", minimum_slice, f"""WITH {EVENTS_SQL.replace('1024.0', '256.0')}, g AS (SELECT source_id, list_bool_and(list_transform(samples, lambda x: x BETWEEN -1 AND 1)) AS ok, list_transform(samples, lambda x: x::DOUBLE * 0.5) AS s FROM ev)
+SELECT source_id, count(*) FILTER (ok) AS n, round(avg(sqrt(list_sum(list_transform(s, lambda x: x * x)) / 16)) FILTER (ok), 5) AS avg_rms, round(max(list_max(list_transform(s, lambda x: abs(x)))) FILTER (ok), 5) AS max_peak, count(*) FILTER (NOT ok) AS rejected FROM g GROUP BY source_id""")
+
+# -- windows over samples -----------------------------------------------------
+_LONG = f"{EVENTS_SQL}, l AS (SELECT source_id, seq, seq * 16 + i - 1 AS pos, samples[i] AS v FROM (SELECT *, unnest(range(1, 17)) AS i FROM ev))"
+
+
+def _packed_sql(rows: str, size: int | None) -> str:
+    having = f"HAVING count(*) = {size}" if size else ""
+    return f"""WITH {_LONG}, r AS ({rows}), p AS (SELECT source_id, seq, list(v::DOUBLE ORDER BY pos) AS samples FROM r GROUP BY source_id, seq {having})
+    SELECT source_id, seq, len(samples) AS n, round(list_sum(samples), 4) AS total, round(list_sum(list_transform(samples, lambda x, i: x * i)), 3) AS weighted FROM p"""
+
+
+def _events_op(name: str, op, sql: str | None, **params) -> None:
+    _register(name, lambda spark, sf_dir: digest(op(frames_events(spark, sf_dir), **params)), sql)
+
+
+_events_op("frame_buffer", timeline.frame_buffer, _packed_sql("SELECT source_id, pos // 24 AS seq, pos, v FROM l", 24), size=24)
+_events_op("chunk_overlap", timeline.chunk_overlap, _packed_sql("SELECT source_id, c AS seq, pos, v FROM (SELECT *, unnest(range(greatest((pos - 24 + 12) // 12, 0), pos // 12 + 1)) AS c FROM l) WHERE pos >= c * 12 AND pos < c * 12 + 24", 24), size=24, hop=12)
+_events_op("delay", timeline.delay, _packed_sql("SELECT source_id, seq, pos, coalesce(lag(v, 20) OVER (PARTITION BY source_id ORDER BY pos), 0) AS v FROM l", None), samples=20)
+_events_op("fade", timeline.fade, _packed_sql("SELECT source_id, seq, pos, CAST(v::DOUBLE * least(pos / 100.0, 1) AS FLOAT) AS v FROM l", None), duration=100)
+
+
+def overlap_add(spark, sf_dir):
+    return digest(timeline.overlap_add(timeline.chunk_overlap(frames_events(spark, sf_dir), 32, 16), 32, 16))
+
+
+_register("overlap_add", overlap_add, _packed_sql("SELECT source_id, pos // 16 AS seq, pos, CAST(round(v::DOUBLE, 7) AS FLOAT) AS v FROM (SELECT *, max(pos) OVER (PARTITION BY source_id) AS top FROM l) WHERE pos // 16 <= (top + 1 - 32) // 16", 16))
+
+
+def resample(spark, sf_dir):
+    return digest(timeline.resample_linear(frames_events(spark, sf_dir).withColumn("sample_rate", F.lit(16000)), 24000))
+
+
+_register("resample_linear", resample, _packed_sql("SELECT source_id, seq, k AS pos, CAST(v::DOUBLE + (nv::DOUBLE - v::DOUBLE) * ((k * 16000 - pos * 24000) / 24000.0) AS FLOAT) AS v FROM (SELECT *, unnest(range((pos * 24000 + 15999) // 16000, ((pos + 1) * 24000 + 15999) // 16000)) AS k FROM (SELECT *, lead(v) OVER (PARTITION BY source_id ORDER BY pos) AS nv FROM l) WHERE nv IS NOT NULL)", None))
+
+
+def _dup_frames(spark, sf_dir) -> DataFrame:
+    """Lines of orders as frames with gaps, repeats and disorder: seq is the line number, arrival a total order."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    arrival = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return rows.select(
+        F.col("l_orderkey").cast("string").alias("source_id"), F.lit("li").alias("stream_id"), F.col("l_linenumber").cast("long").alias("seq"), F.lit(0).cast("long").alias("generation"),
+        (F.col("l_linenumber").cast("long") * 1000000).alias("stamp_ns"), arrival.cast("long").alias("arrival_ns"), F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"),
+        F.array(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100).cast("array<float>").alias("samples"),
+    )
+
+
+_DUP = "d AS (SELECT l_orderkey, l_linenumber AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) AS arr, [l_discount::FLOAT, l_tax::FLOAT, (l_quantity / 100)::FLOAT] AS s FROM lineitem)"
+_register(
+    "packet_loss_concealment",
+    lambda spark, sf_dir: digest(timeline.packet_loss_concealment(_dup_frames(spark, sf_dir)), "concealed"),
+    f"""WITH {_DUP}, k AS (SELECT *, max(seq) OVER (PARTITION BY l_orderkey ORDER BY arr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM d),
+    g AS (SELECT *, lag(s) OVER (PARTITION BY l_orderkey ORDER BY seq) AS prev FROM k WHERE seen IS NULL OR seq > seen),
+    o AS (SELECT l_orderkey, seq, s, false AS concealed FROM g UNION ALL SELECT l_orderkey, seen + j, list_transform(prev, lambda x: CAST(x::DOUBLE * pow(0.7, j) AS FLOAT)), true FROM (SELECT *, unnest(range(1, seq - seen)) AS j FROM g WHERE seq - seen - 1 BETWEEN 1 AND 3))
+    SELECT CAST(l_orderkey AS VARCHAR) AS source_id, seq, concealed, len(s) AS n, round(list_sum(list_transform(s, lambda x: x::DOUBLE)), 4) AS total, round(list_sum(list_transform(s, lambda x, i: x::DOUBLE * i)), 3) AS weighted FROM o""",
+)
+
+
+def range_query(spark, sf_dir):
+    out = timeline.range_query(frames_embeddings(spark, sf_dir), 6_000_000, 26_000_001)
+    return out.select("source_id", "status", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+_register("audio_window_range", range_query, f"WITH {EMBEDDINGS_SQL}, l AS (SELECT source_id, seq * 64 + i - 1 AS pos, samples[i]::DOUBLE AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM emb)) SELECT source_id, 'ok' AS status, count(*) AS n, round(sum(v), 4) AS total FROM l WHERE pos >= 96 AND pos < 417 GROUP BY source_id")
+
+
+# -- several inputs -----------------------------------------------------------
+def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    frames = frames_embeddings(spark, sf_dir)
+    late = frames.filter("seq % 3 <> 1").withColumns({"stamp_ns": F.col("stamp_ns") - 1_500_000, "arrival_ns": F.col("arrival_ns") - 700_000, "samples": F.transform("samples", lambda x: (x * F.lit(0.5).cast("float")).cast("float"))})
+    return frames, late
+
+
+def _asof_sql(expr: str) -> str:
+    return f"""WITH {EMBEDDINGS_SQL}, o AS (SELECT a.source_id, a.seq, {expr} AS samples FROM emb a JOIN emb b ON a.source_id = b.source_id AND b.seq = CASE WHEN a.seq % 3 = 1 THEN a.seq - 1 ELSE a.seq END)
+    SELECT source_id, seq, len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) AS total, round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) AS weighted FROM o WHERE list_bool_and(list_transform(samples, lambda x: x BETWEEN -1 AND 1))"""
+
+
+_register("mix", lambda s, d: digest(asof.mix(list(_two(s, d)), [0.0, -6.0])), _asof_sql(f"list_transform(a.samples, lambda x, i: CAST(x + CAST((b.samples[i] * 0.5::FLOAT)::DOUBLE * {10 ** -0.3!r} AS FLOAT) AS FLOAT))"))
+_register("monitor_mix", lambda s, d: digest(asof.monitor_mix(list(_two(s, d)), [-6.0, 0.0])), _asof_sql(f"list_transform(a.samples, lambda x, i: CAST(CAST(x::DOUBLE * {10 ** -0.3!r} AS FLOAT) + b.samples[i] * 0.5::FLOAT AS FLOAT))"))
+_register("aec_linear", lambda s, d: digest(asof.aec_linear(*_two(s, d), gain=0.8)), _asof_sql("list_transform(a.samples, lambda x, i: CAST(x::DOUBLE - (b.samples[i] * 0.5::FLOAT)::DOUBLE * 0.8 AS FLOAT))"))
+_register("ducking", lambda s, d: digest(ordered_fold(asof.sidechain_level(*_two(s, d)), stateful.ducking(), OUT)))
+
+
+def crossfade(spark, sf_dir):
+    a, b = _two(spark, sf_dir)
+    return digest(asof.crossfade(a, b, 16))
+
+
+_register("crossfade", crossfade, f"""WITH {EMBEDDINGS_SQL}, h AS (SELECT source_id, seq, samples AS a, list_transform(samples, lambda x: x * 0.5::FLOAT) AS b FROM emb WHERE seq % 3 <> 1),
+ o AS (SELECT source_id, seq, list_concat(list_concat(a[1:48], list_transform(range(1, 17), lambda i: CAST(a[48 + i]::DOUBLE * (1 - i / 17.0) + b[i]::DOUBLE * (i / 17.0) AS FLOAT))), b[17:64]) AS samples FROM h)
+ SELECT source_id, seq, len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) AS total, round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) AS weighted FROM o""")
+
+
+def vad_gate(spark, sf_dir):
+    frames = frames_embeddings(spark, sf_dir)
+    vad = frames.filter("seq % 5 = 0").select("source_id", "arrival_ns", (F.col("seq") % 10 == 0).alias("active"))
+    return asof.vad_gate(frames, vad, 10)
+
+
+_register("kws_vad_gate", vad_gate, f"WITH {EMBEDDINGS_SQL} SELECT source_id, seq, CASE WHEN (seq % 5) * 4 <= 10 THEN (seq // 5) % 2 = 0 ELSE false END AS active FROM emb")
+
+
+def turn_correlation(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("session_id"), F.floor((F.col("turn") + 1) / 2).alias("user_turn_id"), F.lit(1).alias("request_id"), "role")
+    ask, end = rows.filter("role = 'user'").drop("role").distinct(), rows.filter("role = 'assistant'").drop("role").distinct()
+    return asof.turn_correlation(ask, end).select("session_id", "user_turn_id", "request_id")
+
+
+_register("turn_correlation", turn_correlation, "WITH r AS (SELECT DISTINCT conv_id AS session_id, (turn + 1) // 2 AS user_turn_id, 1 AS request_id, role FROM conversations) SELECT a.session_id, a.user_turn_id, a.request_id FROM r a JOIN r b USING (session_id, user_turn_id, request_id) WHERE a.role = 'user' AND b.role = 'assistant'")
+
+# -- ordered folds ------------------------------------------------------------
+for _name, _step in {
+    "high_pass": stateful.high_pass(), "band_pass": stateful.band_pass(), "notch": stateful.notch(), "hum": stateful.hum(), "eq": stateful.eq(low_db=-3.0, high_db=-6.0),
+    "deesser": stateful.deesser(), "agc": stateful.agc(), "silence_removal": stateful.silence_removal(0.15, 1.0), "echo": stateful.echo(2.0), "reverb": stateful.reverb(),
+}.items():
+    _register(_name, lambda s, d, step=_step: digest(ordered_fold(frames_events(s, d), step, OUT)))
+_a = (1 / 16000) / (1 / (2 * math.pi * 3400.0) + 1 / 16000)
+_register(
+    "low_pass",
+    lambda s, d: digest(ordered_fold(frames_events(s, d), stateful.low_pass(), OUT)),
+    f"""WITH RECURSIVE {_LONG}, f AS (SELECT source_id, pos, v AS y FROM l WHERE pos = 0 UNION ALL SELECT l.source_id, l.pos, CAST(f.y::DOUBLE + {_a!r} * (l.v::DOUBLE - f.y::DOUBLE) AS FLOAT) FROM f JOIN l ON l.source_id = f.source_id AND l.pos = f.pos + 1)
+    SELECT source_id, pos // 16 AS seq, count(*) AS n, round(sum(y::DOUBLE), 4) AS total, round(sum(y::DOUBLE * (pos % 16 + 1)), 3) AS weighted FROM f GROUP BY source_id, pos // 16""",
+)
+_register("clock_drift", lambda s, d: ordered_fold(frames_events(s, d).withColumn("stamp_ns", F.col("stamp_ns") + F.col("seq") * 1500), stateful.clock_drift(), "source_id string, seq long, stamp_ns long"))
+_register("jitter_buffer", lambda s, d: ordered_fold(_dup_frames(s, d), stateful.jitter_buffer(), "source_id string, seq long, arrival_ns long, released_ns long", order=("arrival_ns",)))
+
+
+def _probabilities(spark, sf_dir) -> DataFrame:
+    frames = frames_events(spark, sf_dir)
+    return frames.select("source_id", "seq", "arrival_ns", F.least(pw.rms() * 4, F.lit(1.0)).alias("probability"))
+
+
+_register("vad_estimator", lambda s, d: ordered_fold(_probabilities(s, d), stateful.vad_estimator(end_windows=3), "source_id string, seq long, smoothed double, active boolean, started boolean, ended boolean").withColumn("smoothed", F.round("smoothed", 6)))
+_register("kws_stream_gate", lambda s, d: ordered_fold(_probabilities(s, d).withColumn("active", F.expr("probability > 0.6")), stateful.stream_gate(2.0, 2.0, 1.0), "source_id string, seq long, segment long"))
+_register("kws_cooldown", lambda s, d: ordered_fold(_probabilities(s, d).filter("probability > 0.5"), stateful.cooldown(3.0), "source_id string, seq long"))
+_register("asr_control", lambda s, d: ordered_fold(_probabilities(s, d).withColumn("event", F.expr("CASE WHEN seq % 7 = 3 THEN 'start' WHEN seq % 7 = 6 THEN 'stop' ELSE 'audio' END")), stateful.asr_control(2.0), "source_id string, seq long"))
+
+
+def _dialogue(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    events = rows.select(F.col("conv_id").cast("string").alias("source_id"), (F.col("turn") * 1500).alias("now_ms"), F.expr("CASE WHEN turn % 6 = 0 THEN 'wake' WHEN role = 'user' THEN 'speech' ELSE 'quiet' END").alias("event"), F.lit(0.0).alias("probability"))
+    ticks = events.select("source_id", (F.col("now_ms") + 1400).alias("now_ms"), F.lit("tick").alias("event"), F.lit(0.0).alias("probability"))
+    return ordered_fold(events.unionByName(ticks), stateful.dialogue(), "source_id string, now_ms long, turn long, decision string", order=("now_ms", "event"))
+
+
+_register("dialogue", _dialogue)
+
+
+def asr_partials(spark, sf_dir):
+    """Repeated partial texts are left out."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return rows.withColumn("prev", F.lag("role").over(order)).filter("prev IS NULL OR prev <> role").select("conv_id", "turn", "role")
+
+
+_register("asr_partial_dedup", asr_partials, "SELECT conv_id, turn, role FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NULL OR prev <> role")
+
+
+def command_router(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr("CASE event_id % 5 WHEN 0 THEN ' Start ' WHEN 1 THEN 'mode DICTATION' WHEN 2 THEN 'mode none' WHEN 3 THEN 'STOP' ELSE 'stop now' END").alias("text"))
+    return commands.route(rows).groupBy("action", "mode", "ok").agg(F.count("*").alias("n"))
+
+
+_register("command_router", command_router, "SELECT CASE event_id % 5 WHEN 0 THEN 'start' WHEN 1 THEN 'mode' WHEN 3 THEN 'stop' END AS action, CASE WHEN event_id % 5 = 1 THEN 'dictation' END AS mode, event_id % 5 IN (0, 1, 3) AS ok, count(*) AS n FROM events GROUP BY ALL")
+
+
+def reject_counts(spark, sf_dir):
+    return rejects(frames_events(spark, sf_dir, 256.0), "contract").groupBy("op", "reason").agg(F.count("*").alias("n"))
+
+
+_register("reject_counters", reject_counts, f"WITH {EVENTS_SQL.replace('1024.0', '256.0')} SELECT 'contract' AS op, 'out of range' AS reason, count(*) AS n FROM ev WHERE NOT list_bool_and(list_transform(samples, lambda x: x BETWEEN -1 AND 1)) HAVING count(*) > 0")
+
+
+# -- spectra ------------------------------------------------------------------
+def _sums(df: DataFrame, *arrays: str) -> DataFrame:
+    total = lambda c: F.round(F.aggregate(F.transform(c, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias(c)
+    return df.select("source_id", "seq", "frame", *map(total, arrays))
+
+
+_register(
+    "stft",
+    lambda s, d: _sums(features.stft(frames_embeddings(s, d), 16, 8, "rectangular"), "re", "im"),
+    f"""WITH {EMBEDDINGS_SQL}, k AS (SELECT source_id, seq, samples, unnest(range(0, 7)) AS frame FROM emb)
+    SELECT source_id, seq, frame, round(list_sum(list_transform(range(0, 9), lambda b: (b + 1) * CAST(list_sum(list_transform(range(0, 16), lambda t: samples[frame * 8 + t + 1]::DOUBLE * cos(2 * pi() * b * t / 16))) AS FLOAT)::DOUBLE)), 3) + 0.0 AS re,
+           round(list_sum(list_transform(range(0, 9), lambda b: -(b + 1) * CAST(list_sum(list_transform(range(0, 16), lambda t: samples[frame * 8 + t + 1]::DOUBLE * sin(2 * pi() * b * t / 16))) AS FLOAT)::DOUBLE)), 3) + 0.0 AS im FROM k""",
+)
+_register("log_mel", lambda s, d: _sums(features.log_mel(frames_embeddings(s, d), 32, 16, 8), "mel"))
+_register("mfcc", lambda s, d: _sums(features.mfcc(frames_embeddings(s, d), 32, 16, 8, 5), "mfcc"))
+_register("smart_turn_mel", lambda s, d: _sums(features.smart_turn_mel(frames_embeddings(s, d), 32, 16, 8), "mel"))
+_register("cqt", lambda s, d: _sums(features.cqt(frames_embeddings(s, d), 64, 64, 24, 12, 1000.0), "magnitude"))
+_register("onset", lambda s, d: features.onset(frames_embeddings(s, d), 16, 8, 0.5, 0.001).withColumn("flux", F.round("flux", 5)))
+_register("pitch", lambda s, d: features.pitch(frames_embeddings(s, d), 32, 16, 1000.0, 4000.0, 0.2).withColumns({"f0": F.round("f0", 4), "confidence": F.round("confidence", 5)}))
+_register("tempo", lambda s, d: features.tempo(frames_embeddings(s, d), 16, 2, 10000.0, 300000.0, 0.05).withColumns({"bpm": F.round("bpm", 3), "confidence": F.round("confidence", 5)}))
+
+
+# -- edges --------------------------------------------------------------------
+def wav_record(spark, sf_dir):
+    return pcm.record_wav(frames_embeddings(spark, sf_dir)).select("source_id", F.octet_length("wav").cast("long").alias("n_bytes"), F.hex(F.expr("substring(wav, 1, 4)")).alias("magic"))
+
+
+_register("wav_record", wav_record, "SELECT CAST(label AS VARCHAR) AS source_id, 44 + 2 * 64 * count(*) AS n_bytes, '52494646' AS magic FROM embeddings GROUP BY label")
+
+
+def encode_media_time(spark, sf_dir):
+    """Chunk numbers and media time restart with each generation."""
+    frames = frames_events(spark, sf_dir).withColumn("generation", F.floor(F.col("seq") / 4))
+    own = Window.partitionBy("source_id", "generation").orderBy("seq")
+    span = F.size("samples").cast("long") * 1_000_000_000 / F.col("sample_rate")
+    return frames.select("source_id", "seq", (F.row_number().over(own) - 1).cast("long").alias("sequence"), F.coalesce(F.sum(span.cast("long")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("media_time_ns"))
+
+
+_register("encode_media_time", encode_media_time, f"WITH {EVENTS_SQL} SELECT source_id, seq, seq % 4 AS sequence, (seq % 4) * 1000000 AS media_time_ns FROM ev")
