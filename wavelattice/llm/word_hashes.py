@@ -12,12 +12,14 @@ import xxhash
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
+#: Texts bring new words without end; a table of frequent ones takes some 20 MB in each worker.
+_KNOWN = 100_000
 _known: dict[str, int] = {}
 
 
 def hashes(words: list[str]) -> np.ndarray:
     """A 64-bit hash of each word; those of distinct words are kept in a bounded table."""
-    if len(_known) > 1_000_000:
+    if len(_known) > _KNOWN:
         _known.clear()
     for w in set(words).difference(_known):
         _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
