@@ -169,7 +169,8 @@ def dedup_substrings(docs: DataFrame, size: int = 50, anchor: int = 8, batches:
     todo = found.filter(~F.col("repeat")).groupBy("doc", "th").agg(F.collect_set(F.struct("at", "n")).alias("todo"))
     windows = stored(near.join(todo, ["doc", "th"]).mapInArrow(_windows(size), "doc long, th long, pos int, w1 long, w2 long"))
     owner = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    late = windows.join(owner.select("w1", "w2", "first"), ["w1", "w2"]).filter("first < doc")
+    owner = stored(owner.select("w1", "w2", "first"))  # a join of two plain shuffles: a passage that many share is split there
+    late = windows.join(owner, ["w1", "w2"]).filter("first < doc")
     single = late.select("doc", "th", F.struct(F.col("pos").alias("at"), F.lit(1).alias("n")).alias("x"))
     whole = found.filter("repeat").select("doc", "th", F.struct("at", "n").alias("x"))
     gone = whole.unionByName(single).groupBy("doc", "th").agg(F.collect_set("x").alias("gone"))
