@@ -210,7 +210,7 @@ def test_jaccard_join_equals_brute_force(spark):
     rows += [(n + k, f"{hot} tail{k} of{k} it{k}") for k in range(30)] + [(200, "a b"), (201, "a b"), (202, None), (203, ""), (204, "a b c")]
     want = brute_links(rows)
     degree = {i: sum(i in p for p in want) for i, _ in rows}
-    for options in ({}, {"small": 4, "block": 8}):
+    for options in ({}, {"small": 4, "block": 8}, {"small": 4, "block": 8, "rounds": 0}, {"small": 4, "rounds": 1}):
         found = {r.doc_id: r for r in jaccard_join.jaccard_join(docs(spark, rows), **options).collect()}
         assert {i: found[i].n_links for i in degree} == degree
         assert all(found[a].class_id == found[b].class_id for a, b in want)

@@ -9,8 +9,15 @@ path meet in its bucket:
 * buckets of at most ``small`` nodes compare all their nodes' sketches;
 * a larger bucket's token is *hot*. A node whose choice is mostly cool is left
   out of hot buckets: whatever is similar to it shares cool tokens with it. The
-  others go on with their ``hot_paths`` least hot tokens, split into blocks
-  that are compared pair by pair of blocks.
+  others go on with their ``hot_paths`` least hot tokens, in rounds. A round
+  draws ``_LEADERS`` nodes of each hot bucket and compares all others with them
+  alone. A node within ``reach`` of a leader leaves the bucket, and a node
+  within ``reach`` plus the linking distance of it is joined to that leader.
+  Distances of sketches obey the triangle inequality, so when the first of two
+  linked nodes leaves, both are joined to the leader that it leaves for: no
+  link is lost. Buckets that have shrunk to ``small`` nodes compare them all;
+  what ``rounds`` rounds leave is split into blocks that are compared pair by
+  pair of blocks.
 
 Sketches (``_HASHES`` minima, two bits each) only decide which nodes are
 verified together; the bar lies five standard deviations below the wanted
@@ -45,6 +52,10 @@ from .word_hashes import hashes, mix, rolling, words_of
 
 HIGHEST = 2**63 - 1
 _HASHES = 256
+#: Nodes of a hot bucket that a round compares all others with.
+_LEADERS = 16
+#: Unequal minima up to which a node may be joined to a leader; unrelated sets differ in 192 of 256.
+_WIDEST = 144
 _MULTIPLY = (np.random.default_rng(7).integers(0, 2**63, _HASHES, np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = np.random.default_rng(8).integers(0, 2**63, _HASHES, np.uint64)
 
@@ -130,9 +141,85 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _sketch_links(similarity: float):
+def _link_bar(similarity: float) -> float:
+    """Equal minima that two sketches must show to be linked."""
     share = (1 + 3 * similarity) / 4
-    bar = _HASHES * share - 5 * (_HASHES * share * (1 - share)) ** 0.5
+    return _HASHES * share - 5 * (_HASHES * share * (1 - share)) ** 0.5
+
+
+def _codes(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, _HASHES // 32)
+
+
+def _differ(x: np.ndarray) -> np.ndarray:
+    """Number of unequal minima, from the exclusive or of codes."""
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+
+
+def _to_leaders(similarity: float):
+    """Edges (node, b) to leaders of the bucket, and with b null the rows that are out of all leaders' reach."""
+    far = _HASHES - _link_bar(similarity)
+    reach = min(far, max(0.0, _WIDEST - far))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nodes = batch.column("node").to_pylist()
+            leaders = batch.column("leaders")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(leaders.offsets.to_numpy()))
+            flat = leaders.flatten()
+            names = flat.field("node").to_pylist()
+            apart = np.zeros(len(row), np.int64)
+            mine, theirs = _codes(batch.column("sketch").to_pylist()), _codes(flat.field("sketch").to_pylist())
+            for k in range(mine.shape[1]):
+                apart += _differ(mine[row, k] ^ theirs[:, k])
+            edges, first = set(), {}
+            for at in np.nonzero(apart <= reach + far)[0].tolist():
+                leader = first.setdefault(int(row[at]), names[at])
+                edges.add((nodes[row[at]] if leader is names[at] else leader, names[at]))
+            edges = [(a, b) for a, b in edges if a != b]
+            stay = np.ones(batch.num_rows, bool)
+            stay[row[apart <= reach]] = False
+            kept = np.nonzero(stay)[0].tolist()
+            n = len(edges)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([a for a, _ in edges] + [nodes[k] for k in kept], pa.binary()),
+                    pa.array([b for _, b in edges] + [None] * len(kept), pa.binary()),
+                    pa.array([None] * n + batch.column("path").take(pa.array(kept, pa.int64())).to_pylist(), pa.int64()),
+                ],
+                ["node", "b", "path"],
+            )
+
+    return run
+
+
+def _lead(hot: DataFrame, sketches: DataFrame, similarity: float, small: int, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """Edge tables, and the rows (node, path, n) of the buckets as the rounds leave them."""
+    edges: list[DataFrame] = []
+    live = stored(hot)
+    done: list[DataFrame] = []
+    for turn in range(rounds):
+        large = live.filter(F.col("n") > small)
+        if large.limit(1).count() == 0:
+            break
+        done.append(live.filter(F.col("n") <= small))
+        rows = stored(large.select("node", "path").join(sketches.select("node", "sketch"), "node"))
+        order = F.xxhash64("node", F.lit(turn))
+        drawn = rows.groupBy("path", F.pmod(order, F.lit(_LEADERS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "sketch")).alias("x"))
+        drawn = drawn.groupBy("path").agg(F.collect_list(F.struct("x.node", "x.sketch")).alias("leaders"))
+        found = stored(rows.join(drawn, "path").select("node", "path", "sketch", "leaders").mapInArrow(_to_leaders(similarity), "node binary, b binary, path long"))
+        edges.append(found.filter("b IS NOT NULL").select(F.col("node").alias("a"), "b"))
+        left = found.filter("b IS NULL").select("node", "path")
+        live = stored(left.join(left.groupBy("path").agg(F.count("*").alias("n")), "path").select("node", "path", "n"))
+    for part in done:
+        live = live.unionByName(part)
+    return edges, live.filter("n > 1")
+
+
+def _sketch_links(similarity: float):
+    bar = _link_bar(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, held = [], [], 0
@@ -147,11 +234,10 @@ def _sketch_links(similarity: float):
             if len(nodes) < 2:
                 continue
             size = group.column("size").to_numpy()[order].astype(np.int64)
-            codes = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, _HASHES // 32)[order]
+            codes = _codes(group.column("sketch").to_pylist())[order]
             differ = np.zeros((len(nodes), len(nodes)), np.int32)
             for k in range(codes.shape[1]):
-                x = codes[:, k][:, None] ^ codes[:, k][None, :]
-                differ += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+                differ += _differ(codes[:, k][:, None] ^ codes[:, k][None, :])
             close = (_HASHES - differ >= bar) & (np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-9)
             root = _forest(close)
             mine = np.nonzero(root != np.arange(len(root)))[0]
@@ -233,7 +319,7 @@ def _pairs(blocks: str, block: str) -> Column:
     return F.expr(f"transform(sequence(0, {blocks} - 1), k -> struct(least(k, {block}) AS i, greatest(k, {block}) AS j))")
 
 
-def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: int = 24, small: int = 128, hot_paths: int = 6, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: int = 24, small: int = 128, hot_paths: int = 6, block: int = 256, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, th, root (null: no shingles), class, n_links, class_size: a row per document."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -253,13 +339,16 @@ def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: i
     sketches = nodes.select("node", "size", "sketch")
     cool_rows = met.filter(F.col("n") <= small).select("node", "path", F.lit(0).alias("i"), F.lit(0).alias("j"))
     mostly_hot = hot.join(nodes.select("node", F.size("paths").alias("k")), "node").filter(2 * F.size("hot") >= F.col("k"))
-    hot_rows = mostly_hot.select("node", F.explode(F.slice("hot", 1, hot_paths)).alias("h")).select(
-        "node", "h.path", F.ceil(F.col("h.n") / block).cast("int").alias("blocks")
-    )
+    hot_rows = mostly_hot.select("node", F.explode(F.slice("hot", 1, hot_paths)).alias("h")).select("node", "h.path", "h.n")
+    led, hot_rows = _lead(hot_rows, sketches, similarity, small, rounds)
+    hot_rows = hot_rows.withColumn("blocks", F.when(F.col("n") <= small, 1).otherwise(F.ceil(F.col("n") / block)).cast("int"))
     hot_rows = hot_rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     hot_rows = hot_rows.select("node", "path", F.explode(_pairs("blocks", "block")).alias("p")).select("node", "path", "p.i", "p.j")
     buckets = cool_rows.unionByName(hot_rows).join(sketches, "node").repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
-    near = components(buckets.mapInArrow(_sketch_links(similarity), "a binary, b binary"))
+    edges = buckets.mapInArrow(_sketch_links(similarity), "a binary, b binary")
+    for table in led:
+        edges = edges.unionByName(table)
+    near = components(edges)
 
     roots = near.select(F.col("a").alias("node"), "root")
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
