@@ -10,12 +10,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import commands
+from .functions import commands, tones
 from .model import EMBEDDINGS_SQL, EVENTS_SQL, digest, digest_sql, frames_embeddings, frames_events, rejects
 from .operators import asof, features, stateful, timeline
 from .operators import pointwise as pw
 from .operators.stateful import OUT, ordered_fold
-from .sources import pcm
+from .sources import clips, pcm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -332,3 +332,17 @@ def encode_media_time(spark, sf_dir):
 
 
 _register("encode_media_time", encode_media_time, f"WITH {EVENTS_SQL} SELECT source_id, seq, seq % 4 AS sequence, (seq % 4) * 1000000 AS media_time_ns FROM ev")
+
+
+def clip_archive(spark, sf_dir):
+    found = clips.clips(frames_embeddings(spark, sf_dir), 6_000_000, 26_000_001, "archive", reason="kept")
+    return found.select("source_id", "status", "start_ns", "stop_ns", "duration_ns", F.octet_length("wav").cast("long").alias("n_bytes"), F.length("content_sha256").cast("long").alias("n_digest"), F.regexp_replace("clip_id", "_[0-9a-f]{16}$", "").alias("name"))
+
+
+_register("clip_archive", clip_archive, """SELECT CAST(label AS VARCHAR) AS source_id, 'ok' AS status, 6000000 AS start_ns, 26062500 AS stop_ns, 20062500 AS duration_ns, 44 + 2 * 321 AS n_bytes, 64 AS n_digest,
+'archive_audio_window_window_epoch0_' || label || '_audio_6000000_26062500_pcm_s16le_wav_pcm16le' AS name FROM embeddings GROUP BY label""")
+
+_register("wake_tone", lambda s, d: tones.wake_tone(s).select("i", F.round("v", 6).alias("v")), """WITH t AS (SELECT i, i / 48000.0::DOUBLE AS t, i / 12480.0::DOUBLE AS p FROM range(0, 12480) r(i)),
+e AS (SELECT *, p * p * (3 - 2 * p) AS lift, least(1.0::DOUBLE, least(t, 0.26 - t) / 0.034) AS f FROM t),
+w AS (SELECT *, f * f * (3 - 2 * f) AS env, sum(2 * pi() * (660 + 260 * lift) / 48000) OVER o AS low, sum(2 * pi() * (1320 + 91 * lift) / 48000) OVER o AS high FROM e WINDOW o AS (ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT i, round((sin(low) * 0.78 + sin(high) * 0.22) * env * (1 - 0.28 * lift) * 0.18, 6) AS v FROM w""")

@@ -64,13 +64,13 @@ def frames_events(spark: SparkSession, sf_dir: str, scale: float = 1024.0, size:
 
 
 def digest(frames: DataFrame, *more: str) -> DataFrame:
-    """A frame's samples as numbers that compare well: count, sum and index-weighted sum."""
+    """A frame's samples as numbers that compare well: count, sum and index-weighted sum (no negative zeros)."""
     s = F.col("samples")
     add = lambda a, x: a + x.cast("double")
     return frames.select(
         "source_id", "seq", *more, F.size(s).cast("long").alias("n"),
-        F.round(F.aggregate(s, F.lit(0.0), add), 4).alias("total"),
-        F.round(F.aggregate(F.transform(s, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), add), 3).alias("weighted"),
+        (F.round(F.aggregate(s, F.lit(0.0), add), 4) + 0.0).alias("total"),
+        (F.round(F.aggregate(F.transform(s, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), add), 3) + 0.0).alias("weighted"),
     )
 
 
@@ -85,6 +85,6 @@ def digest_sql(samples: str, of: str = "emb", where: str = "true", more: str = "
     """DuckDB SQL: the digest of an expression over the frames of a view."""
     view = EMBEDDINGS_SQL if of == "emb" else EVENTS_SQL
     return f"""WITH {view}, o AS (SELECT * REPLACE ({samples} AS samples) FROM {of} WHERE {where})
-    SELECT source_id, seq, {more} len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) AS total,
-           round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) AS weighted
+    SELECT source_id, seq, {more} len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) + 0.0 AS total,
+           round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) + 0.0 AS weighted
     FROM o WHERE list_bool_and(list_transform(samples, lambda x: x BETWEEN -1 AND 1))"""

@@ -115,7 +115,8 @@ def range_query(frames: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     """The samples of [start_ns, end_ns) of each source, or why there are none.
 
     Frames that overlap a retained one are not stored; the range needs full
-    and continuous cover; both ends snap up to whole samples.
+    and continuous cover; both ends snap up to whole samples, which
+    ``start_ns`` and ``stop_ns`` give.
     """
     if start_ns >= end_ns:
         raise ValueError("range is empty")
@@ -133,7 +134,8 @@ def range_query(frames: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     gap = F.max((F.col("next").isNotNull() & (F.col("next") != F.col("end_ns"))).cast("int"))
     joined = found.groupBy("source_id").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("stamp_ns", "piece"))), lambda x: x["piece"])).alias("samples"),
-        F.min("stamp_ns").alias("low"), F.max("end_ns").alias("high"), gap.alias("gap"),
+        F.min("stamp_ns").alias("low"), F.max("end_ns").alias("high"), gap.alias("gap"), F.min("sample_rate").alias("sample_rate"), F.min("channels").alias("channels"),
+        F.min(F.expr("stamp_ns + lo * 1000000000 div sample_rate")).alias("start_ns"), F.max(F.expr("stamp_ns + hi * 1000000000 div sample_rate")).alias("stop_ns"),
     )
     status = F.when((F.col("low") > start_ns) | (F.col("high") < end_ns), "range_outside_window").when(F.col("gap") == 1, "range_not_continuous").otherwise("ok")
-    return joined.select("source_id", status.alias("status"), F.when(status == "ok", F.col("samples")).alias("samples"))
+    return joined.select("source_id", status.alias("status"), F.when(status == "ok", F.col("samples")).alias("samples"), "sample_rate", "channels", "start_ns", "stop_ns")
