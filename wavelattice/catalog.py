@@ -231,11 +231,38 @@ def turn_correlation(spark, sf_dir):
 _register("turn_correlation", turn_correlation, "WITH r AS (SELECT DISTINCT conv_id AS session_id, (turn + 1) // 2 AS user_turn_id, 1 AS request_id, role FROM conversations) SELECT a.session_id, a.user_turn_id, a.request_id FROM r a JOIN r b USING (session_id, user_turn_id, request_id) WHERE a.role = 'user' AND b.role = 'assistant'")
 
 # -- ordered folds ------------------------------------------------------------
+def _rc_share(cutoff: float) -> float:
+    return (1 / 16000) / (1 / (2 * math.pi * cutoff) + 1 / 16000)
+
+
+def _walk_sql(first: str, then: str, more: str = "", lag: int = 1) -> str:
+    """A recursion over the samples x of a source: ``first`` and ``then`` (of f, the state ``lag`` samples ago) give y and further columns."""
+    return f"""WITH RECURSIVE {_LONG}, s AS (SELECT source_id, pos, v::DOUBLE AS x FROM l), f AS (SELECT source_id, pos, {first} FROM s WHERE pos < {lag}
+    UNION ALL SELECT source_id, pos, {then} FROM (SELECT s.source_id, s.pos, s.x, f.* EXCLUDE (source_id, pos) RENAME (x AS px, y AS py){more} FROM f JOIN s ON s.source_id = f.source_id AND s.pos = f.pos + {lag}))
+    SELECT source_id, pos // 16 AS seq, count(*) AS n, round(sum(y), 4) + 0.0 AS total, round(sum(y * (pos % 16 + 1)), 3) + 0.0 AS weighted FROM f GROUP BY source_id, pos // 16"""
+
+
+_high = f"CAST({1 - _rc_share(80.0)!r} * (py + x - px) AS FLOAT)::DOUBLE"
+_less = 1 - math.exp(-2 * math.pi * 4500.0 / 16000)
+_split = "CAST(low + CASE WHEN abs(x - low) >= 0.08 THEN (x - low) * {g!r} ELSE x - low END AS FLOAT)::DOUBLE".format(g=10 ** (-9.0 / 20))
+_rms_sql = "sqrt(list_sum(list_transform(samples, lambda x: x::DOUBLE * x)) / len(samples))"
+_slow, _quick = (1 - math.exp(-16 / 16000 / tau) for tau in (0.25, 0.01))
+_FOLD_SQL = {
+    "high_pass": _walk_sql("x, 0.0::DOUBLE AS y", f"x, {_high} AS y"),
+    "deesser": _walk_sql(f"x, {_split.replace('low', f'({_less!r} * x)')} AS y, {_less!r} * x AS low", f"x, {_split.replace('low', f'(low + {_less!r} * (x - low))')} AS y, low + {_less!r} * (x - low) AS low"),
+    "echo": _walk_sql("x, CAST(0.8 * x AS FLOAT)::DOUBLE AS y, CAST(x AS FLOAT)::DOUBLE AS line", "x, CAST(0.8::DOUBLE * x + 0.4::DOUBLE * line AS FLOAT)::DOUBLE AS y, CAST(x + 0.35::DOUBLE * line AS FLOAT)::DOUBLE AS line", lag=32),
+    "agc": f"""WITH RECURSIVE {EVENTS_SQL}, w AS (SELECT *, least(greatest(0.1::DOUBLE / {_rms_sql}, 0.25), 4.0) AS want FROM ev),
+    f AS (SELECT source_id, seq, 1 + CASE WHEN want < 1 THEN {_quick!r} ELSE {_slow!r} END * (want - 1) AS g FROM w WHERE seq = 0
+          UNION ALL SELECT w.source_id, w.seq, g + CASE WHEN want < g THEN {_quick!r} ELSE {_slow!r} END * (want - g) FROM f JOIN w ON w.source_id = f.source_id AND w.seq = f.seq + 1),
+    o AS (SELECT source_id, seq, list_transform(samples, lambda x: CAST(x::DOUBLE * g AS FLOAT)) AS samples FROM f JOIN ev USING (source_id, seq))
+    SELECT source_id, seq, len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) + 0.0 AS total, round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) + 0.0 AS weighted FROM o""",
+    "silence_removal": digest_sql("samples", "ev").replace("o AS (", f"loud AS (SELECT source_id, seq, max(CASE WHEN {_rms_sql} >= 0.15 THEN seq END) OVER (PARTITION BY source_id ORDER BY seq) AS loudest FROM ev), o AS (").replace("FROM o WHERE", "FROM o SEMI JOIN (SELECT * FROM loud WHERE seq - loudest <= 1) USING (source_id, seq) WHERE"),
+}
 for _name, _step in {
     "high_pass": stateful.high_pass(), "band_pass": stateful.band_pass(), "notch": stateful.notch(), "hum": stateful.hum(), "eq": stateful.eq(low_db=-3.0, high_db=-6.0),
     "deesser": stateful.deesser(), "agc": stateful.agc(), "silence_removal": stateful.silence_removal(0.15, 1.0), "echo": stateful.echo(2.0), "reverb": stateful.reverb(),
 }.items():
-    _register(_name, lambda s, d, step=_step: digest(ordered_fold(frames_events(s, d), step, OUT)))
+    _register(_name, lambda s, d, step=_step: digest(ordered_fold(frames_events(s, d), step, OUT)), _FOLD_SQL.get(_name))
 _a = (1 / 16000) / (1 / (2 * math.pi * 3400.0) + 1 / 16000)
 _register(
     "low_pass",
