@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_text, stored, text_slices
+from .shared import TABLES, arrow_map, id_text, stored, text_slices
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(f"[!-~ \\t-\\r{_LATIN}]*").fullmatch
@@ -44,7 +44,7 @@ class ByteTokenizer:
     kept in a bounded table of ids. Other texts go through the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 150_000):
         import json
 
         import tiktoken
@@ -65,16 +65,17 @@ class ByteTokenizer:
         for word, rank in ranks.items():
             self.width[rank] = len(word)
         self.keep = keep
-        self._clear()
+        self.clear()
+        TABLES.append(self.clear)
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.cuts = pa.array([], pa.string())
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _numbers(self, cuts: pa.Array) -> np.ndarray:
         """Each distinct cut's place in the table; new ones are encoded in one go."""
         if len(self.cuts) > self.keep:
-            self._clear()
+            self.clear()
         found = pc.fill_null(pc.index_in(cuts, value_set=self.cuts), -1).to_numpy(False).astype(np.int64)
         begins = pc.starts_with(cuts, _FIRST).to_numpy(False)
         for mine in (np.nonzero((found < 0) & begins)[0], np.nonzero((found < 0) & ~begins)[0]):
@@ -136,7 +137,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataF
         part, seen = TaskContext.get().partitionId(), Counter()
         machine = byte_tokenizer(path)
         for whole in batches:
-            for batch in text_slices(whole, 16 << 20):
+            for batch in text_slices(whole):
                 rows: list[tuple] = []
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), machine.encode(batch.column("text"))):
                     ids = np.concatenate([ids, end])
@@ -152,7 +153,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataF
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
+    return arrow_map(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
 def patterns_of(capacity: int, present: np.ndarray, spread: int = 24) -> np.ndarray:
@@ -283,6 +284,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_c
     ranked = pieces.join(starts, ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("place")).alias("rank")
     )
-    return ranked.mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return arrow_map(
+        ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

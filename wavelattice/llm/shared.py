@@ -8,6 +8,8 @@ missing (local tests) is a folder of this machine used.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -33,17 +35,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/wl-{uuid.uuid4().hex}"
 
 
+#: Where the shared folder is a mounted one, Hadoop's checksum layer starts a process (``chmod``) twice
+#: for every file an executor writes. Parquet needs neither its checksum files nor those modes.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def _writer(df: DataFrame):
+    return df.write.option("compression", "zstd").options(**_PLAIN_FILES)
+
+
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
+    writer = _writer(df)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
+    """Like :func:`stored`, dealt into buckets by ``keys`` and sorted in them: later joins on the keys don't move it again.
+
+    ``dealt``: an aggregation or join on the keys has put the rows of a bucket together already.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    n = shuffle_parts(spark)
+    name = "wl_" + uuid.uuid4().hex
+    rows = df if dealt else df.repartition(n, *keys)
+    _writer(rows).option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
+def fresh_prefix(columns: list[str], prefix: str = "__own") -> str:
+    """A prefix that no column's name begins with."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id (long) and the text (null: empty) of a documents table."""
     return df.select(
@@ -52,10 +84,31 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def arrow_map(
-    df: DataFrame, schema: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
+#: Called when a task ends; modules that keep tables in the worker put their ``clear`` here.
+TABLES: list[Callable[[], None]] = []
+
+
+def tidy() -> None:
+    """Drop the worker's tables and give freed memory back: the next task in it may be another stage's."""
+    for clear in TABLES:
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` whose tasks leave nothing behind in their worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from wavelattice.llm.shared import tidy
+
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_slices(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -94,23 +147,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_BITS = 1 << 25
-
-
-def maybe_in(rows: DataFrame, hashed, keys: DataFrame, key_hashed) -> DataFrame:
+def maybe_in(rows: DataFrame, hashed, keys: DataFrame, key_hashed, most_bits: int = 30) -> DataFrame:
     """``rows`` without most of those whose hash no row of ``keys`` has.
 
-    The keys' hashes set bits of a map of ``_BITS`` bits (4 MiB whatever the
-    number of keys), which is broadcast. It only spares a shuffle: rows that
-    pass by chance are for the join that follows.
+    The keys' hashes set bits of a map that is broadcast: sixteen bits for
+    each key, 2 ** 20 at least. Where that would be more than
+    ``2 ** most_bits`` (128 MiB) the rows are returned as they are. It only
+    spares a shuffle: rows that pass by chance are for the join that follows.
     """
-    place = lambda h: F.pmod(h, F.lit(_BITS)) + 1
-    bits = (
-        keys.select(place(key_hashed).alias("__p"))
-        .groupBy(F.bitmap_bucket_number("__p").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    bits = max(20, (16 * keys.count()).bit_length())
+    if bits > most_bits:
+        return rows
+    place = lambda h: F.pmod(h, F.lit(1 << bits)) + 1
+    own = fresh_prefix([*rows.columns, *keys.columns])
+    p, bucket, held = f"{own}_p", f"{own}_bucket", f"{own}_bits"
+    table = (
+        keys.select(place(key_hashed).alias(p))
+        .groupBy(F.bitmap_bucket_number(p).alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias(held))
     )
-    marked = rows.withColumn("__p", place(hashed)).withColumn("__bucket", F.bitmap_bucket_number("__p"))
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__p) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__p) % 8 as int))")) != 0
-    return marked.join(F.broadcast(bits), "__bucket").filter(hit).drop("__p", "__bucket", "__bits")
+    marked = rows.withColumn(p, place(hashed)).withColumn(bucket, F.bitmap_bucket_number(p))
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast(bitmap_bit_position({p}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({p}) % 8 as int))")) != 0
+    return marked.join(F.broadcast(table), bucket).filter(hit).drop(p, bucket, held)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import xxhash
 
+from .shared import TABLES
+
 #: The words of a text: what white space of ASCII leaves.
 words_of = re.compile(r"[^\x20\x09-\x0D]+").findall
 _BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -15,6 +16,7 @@ _MASK = (1 << 64) - 1
 #: Texts bring new words without end; a table of frequent ones takes some 20 MB in each worker.
 _KNOWN = 100_000
 _known: dict[str, int] = {}
+TABLES.append(_known.clear)
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -58,16 +60,3 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
         x = np.minimum(x[:-size], x[size:])
         size *= 2
     return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
-
-
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
-
-
-def spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the words in each span; equal words, equal hashes."""
-    up, down = _powers(max(12, (len(h) + 1).bit_length()))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
