@@ -7,10 +7,12 @@ predictor and yields one page after another. :func:`decode_pages` is the
 DataFrame form, one row per page.
 
 Defined results: null bytes have no pages; a broken file gives one row with
-page -1 and the reason in ``error``; a directory chain that loops ends where
-it meets itself; in :func:`store_texts` a null text counts as empty, a null
-doc_id passes through, repeated rows give repeated results, an empty table
-gives no rows, and further columns are ignored.
+page -1 and the reason in ``error`` after the pages before the fault (no size,
+a size that its data can't fill, missing or short blocks and bad codes are
+faults); a directory chain that loops ends where it meets itself; in
+:func:`store_texts` a null text counts as empty, a null doc_id passes through,
+repeated rows give repeated results, an empty table gives no rows, and further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, text_slices
+from .shared import arrow_map, id_text, text_slices
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: Bytes of a value of each field type (fixed values of the format).
@@ -35,7 +37,12 @@ _CODE = {1: "B", 3: "H", 4: "I"}
 _RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL).finditer
 
 
+#: No code of the format stands for more bytes than this for each byte of itself.
+_MOST = 4096
+
+
 def packbits_encode(data: bytes) -> bytes:
+    """One row of a block: the format packs each row apart."""
     out, at = bytearray(), 0
 
     def literal(part: bytes) -> None:
@@ -120,6 +127,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if last is None:
             entry = table[code]
         else:
+            if code > len(table):
+                raise ValueError("a code comes before its entry")
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
             if len(table) == limit and width < 12:
@@ -130,14 +139,18 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-_ENCODE = {NONE: bytes, LZW: lzw_encode, PACKBITS: packbits_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
+def _encoded(compression: int, block: np.ndarray) -> bytes:
+    if compression == PACKBITS:
+        return b"".join(packbits_encode(row.tobytes()) for row in block)
+    data = block.tobytes()
+    return data if compression == NONE else lzw_encode(data) if compression == LZW else zlib.compress(data, 1)
 
 
 def _decoded(compression: int, data: bytes, size: int) -> bytes:
     if compression == NONE:
         return data
     if compression in (DEFLATE, 32946):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression == LZW:
         return lzw_decode(data, size)
     if compression == PACKBITS:
@@ -163,7 +176,7 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
             if predictor == 2:
                 block = block.copy()
                 block[:, 1:] -= block[:, :-1].copy()
-            data = _ENCODE[compression](block.tobytes())
+            data = _encoded(compression, block)
             offsets.append(len(out))
             sizes.append(len(data))
             out += data
@@ -212,12 +225,21 @@ def read_pages(data: bytes) -> Iterator[np.ndarray]:
             raise ValueError("only interleaved 8-bit samples are supported")
         tiled = 324 in tags
         bw, bh = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
+        if min(width, height, samples, bw, bh) < 1:
+            raise ValueError("a page has no size")
+        offsets, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+        across, down = -(-width // bw), -(-height // bh)
+        if len(offsets) != len(sizes) or len(offsets) != across * down:
+            raise ValueError("blocks are missing or too many")
+        if across * bw * down * bh * samples > _MOST * sum(min(n, max(0, len(data) - at)) for at, n in zip(offsets, sizes)):
+            raise ValueError("a page is larger than its data can fill")
         page = np.zeros((height, width, samples), np.uint8)
-        across = -(-width // bw) if bw else 0
-        for k, (offset, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279])):
+        for k, (offset, size) in enumerate(zip(offsets, sizes)):
             y, x = k // across * bh, k % across * bw
             rows = bh if tiled else min(bh, height - y)
             raw = _decoded(one(259, 1), data[offset : offset + size], rows * bw * samples)
+            if len(raw) < rows * bw * samples:
+                raise ValueError("a block is cut short")
             block = np.frombuffer(raw, np.uint8, rows * bw * samples).reshape(rows, bw, samples)
             if one(317, 1) == 2:
                 block = np.cumsum(block, axis=1, dtype=np.uint8)
@@ -226,28 +248,41 @@ def read_pages(data: bytes) -> Iterator[np.ndarray]:
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def decode_pages(files: DataFrame, id_col: str = "doc_id", data_col: str = "data") -> DataFrame:
-    """id, page, width, height, samples, pixels, error: one row per page."""
-    kind = files.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, page int, width int, height int, samples int, pixels binary, error string"
+_PAGE = "page int, width int, height int, samples int, pixels binary, error string"
+
+
+def decode_pages(files: DataFrame, id_cols: str | list[str] = "doc_id", data_col: str = "data") -> DataFrame:
+    """``id_cols``, page, width, height, samples, pixels, error: one row per page, in the order of the files."""
+    keep = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep) + ", " + _PAGE
+    names = [*keep, *(x.split()[0] for x in _PAGE.split(", "))]
+    kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, data in enumerate(batch.column(1).to_pylist()):
-                rows = []
+            at, rows, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                ids = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+                return pa.RecordBatch.from_arrays([*ids, *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names)
+
+            for i in range(batch.num_rows):
+                data = batch.column(len(keep))[i].as_py()
                 try:
                     for k, page in enumerate(read_pages(data) if data is not None else ()):
+                        at.append(i)
                         rows.append((k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows.append((-1, None, None, None, None, str(e)))
-                if rows:
-                    kinds = [pa.int32()] * 4 + [pa.binary(), pa.string()]
-                    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
-                    same = ids.take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([same, *columns], [id_col, "page", "width", "height", "samples", "pixels", "error"])
+                        held += page.size
+                        if held > 4 << 20:
+                            yield made()
+                            at, rows, held = [], [], 0
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
+                    at.append(i)
+                    rows.append((-1, None, None, None, None, str(e) or type(e).__name__))
+            if rows:
+                yield made()
 
-    return files.select(id_col, F.col(data_col).alias("data")).mapInArrow(run, schema)
+    return arrow_map(files.select(*keep, F.col(data_col).alias("__data" if "data" in keep else "data")), run, schema)
 
 
 WIDTH, SAMPLES, PAGE_ROWS = 192, 3, 256
@@ -260,8 +295,8 @@ def layout_of(payload: bytes) -> dict:
     if k < 1:
         return {"compression": LZW, "predictor": 1}
     if k < 5:
-        return {"compression": PACKBITS, "predictor": 1, "tile": 64 if k == 4 and len(payload) >= 64 * ROW else 0}
-    return {"compression": DEFLATE, "predictor": 2 if k < 8 else 1, "tile": 64 if k == 8 and len(payload) >= 64 * ROW else 0}
+        return {"compression": PACKBITS, "predictor": 1, "tile": 64 if k == 4 else 0}
+    return {"compression": DEFLATE, "predictor": 2 if k < 8 else 1, "tile": 64 if k == 8 else 0}
 
 
 def to_pages(payload: bytes) -> list[np.ndarray]:
@@ -282,22 +317,63 @@ def features(payload: bytes, n_pages: int) -> str:
     return f"pages={n_pages};mean={mean:.3f};sd={spread:.3f};ahash={np.packbits(bits).tobytes().hex()}"
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a TIFF file and what reading its pages back gives."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_FILE = "doc_id long, file long, n_bytes long, media_bytes long, media_sha256 string"
+
+
+def write_texts(docs: DataFrame) -> DataFrame:
+    """``docs``: doc_id, text. A TIFF file (``data``) of each text, numbered within its task."""
+    names = [*(x.split()[0] for x in _FILE.split(", ")), "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = 0
         for whole in batches:
             for batch in text_slices(whole):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                     payload = text + b"\xff" * (-len(text) % ROW if text else ROW)
                     media = write_tiff(to_pages(payload), **layout_of(payload))
-                    pages = [page.tobytes() for page in read_pages(media)]
-                    back = b"".join(pages)
-                    rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(back, len(pages))))
+                    rows.append((doc_id, file, len(text), len(media), hashlib.sha256(media).hexdigest(), media))
+                    file += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
+    return arrow_map(docs, run, _FILE + ", data binary")
+
+
+def payloads_of(pages: DataFrame) -> DataFrame:
+    """Page rows to one row a file. The pages of a file follow each other in one task, so none moves."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def one(head: tuple, parts: list[bytes]) -> tuple:
+        back = b"".join(parts)
+        return (head[0], head[2], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), head[3], head[4], features(back, len(parts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []
+        for batch in batches:
+            rows = []
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            pixels, errors = batch.column("pixels"), batch.column("error").to_pylist()
+            for i, now in enumerate(zip(*columns)):
+                if errors[i] is not None:
+                    raise ValueError(f"doc_id {now[0]}: {errors[i]}")
+                if head is not None and now != head:
+                    rows.append(one(head, parts))
+                    parts = []
+                head = now
+                parts.append(pixels[i].as_py())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+        if head is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one(head, parts), kinds)], names)
+
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(pages, run, schema)
+
+
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as a TIFF file, its pages as rows (:func:`decode_pages`), and what they give put together."""
+    files = write_texts(id_text(docs, id_col, text_col))
+    keep = [x.split()[0] for x in _FILE.split(", ")]
+    return payloads_of(decode_pages(files, keep))
