@@ -14,14 +14,13 @@ from .shared import stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    large = large.filter("a <> b").distinct()  # from here a > b
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a")
-    out = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+    """``edges``: distinct (a, b) with a > b. One contraction towards larger, then towards smaller nodes."""
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    large = edges.join(least.select(F.col("a").alias("b"), "m"), "b").select("a", "m")  # m <= b < a
+    low = large.groupBy("a").agg(F.min("m").alias("least"))
+    small = large.join(low, "a").filter("m <> least").select(F.col("m").alias("a"), F.col("least").alias("b"))
+    return small.unionByName(low.select("a", F.col("least").alias("b"))).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -36,8 +35,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(a, root) for every node of ``edges`` (a, b) that isn't its component's least node."""
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = stored(edges.filter("a <> b").select(a, b).distinct())
-    for _ in range(rounds):
-        if _settled(edges):
+    for turn in range(rounds):
+        if turn != 1 and _settled(edges):  # what one round leaves is seldom settled
             return edges.select("a", F.col("b").alias("root"))
         edges = stored(_stars(edges))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
