@@ -3,13 +3,15 @@
 A sequence of tokens is the encoding of a word exactly when every adjacent
 pair is the encoding of its own concatenation. So the encoding of every prefix
 ends in one known token, found among the vocabulary's entries that end there
-by the pair test alone. Reading one more symbol moves the trie nodes of all
-starts that can still become a token and emits the change of the token count:
-that is the transducer, whose states (trie node, last token) and pair tests
-are made when they are first met and kept.
+by the pair test alone. A state is what a prefix leaves open: for every start
+that can still become a token its trie node, the token before it, and how many
+tokens its prefix has more or less than the whole. Reading one more symbol
+moves the nodes; the transition's output is the change of the token count.
 
-Words run through it side by side: position by position, numpy advances all
-words of a batch at once.
+:class:`BpeAutomaton` runs many words side by side, position by position, all
+open starts of all words in numpy arrays with the counts they carry.
+:class:`CountStates` numbers the states as they are met and keeps their
+transitions, for words that are read in parts.
 """
 
 from __future__ import annotations
@@ -135,8 +137,23 @@ class BpeAutomaton:
         self._held += len(keys)
 
     def run(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word (not empty). Words of like length go together."""
+        """Token ids of each word (not empty)."""
         out: list = [None] * len(words)
+        for part in self._alike(words):
+            last, lengths, _ = self._advance([words[i] for i in part])
+            for i, ids in zip(part, self._back(last, lengths)):
+                out[i] = ids
+        return out
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """Token counts of each word (not empty): what its transitions emit, added up."""
+        out = np.zeros(len(words), np.int64)
+        for part in self._alike(words):
+            out[part] = self._advance([words[i] for i in part])[2]
+        return out
+
+    def _alike(self, words: list[bytes]):
+        """Words of like length go together, within bounded memory."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         first = 0
         while first < len(order):
@@ -144,45 +161,103 @@ class BpeAutomaton:
             last, room = first, max(1, (1 << 22) // max(64, 2 * n))
             while last < len(order) and last - first < room and len(words[order[last]]) <= max(n + 2, n * 9 // 8):
                 last += 1
-            part = order[first:last]
-            for i, ids in zip(part, self._run([words[i] for i in part])):
-                out[i] = ids
+            yield order[first:last]
             first = last
-        return out
 
-    def _run(self, words: list[bytes]) -> list[np.ndarray]:
+    def _advance(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(last token of each prefix, lengths, tokens of each whole word)."""
         lengths = np.fromiter(map(len, words), np.int32, len(words))
         n = int(lengths.max())
         flat = np.zeros((len(words), n), np.uint8)
         flat[np.arange(n) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-        last = np.full((len(words), n + 1), NONE, np.int32)  # last token of each prefix
+        last = np.full((len(words), n + 1), NONE, np.int32)
         last[:, 0] = self.start
+        now = np.zeros(len(words), np.int32)  # tokens of the prefix read so far
         row = np.arange(0, dtype=np.int32)
-        node, left = row.copy(), row.copy()
+        node, left, before = row.copy(), row.copy(), row.copy()
         for i in range(n):
             here = np.nonzero((lengths > i) & (last[:, i] != NONE))[0].astype(np.int32)
             row = np.concatenate([row, here])
             node = np.concatenate([node, np.zeros(len(here), np.int32)])
             left = np.concatenate([left, last[here, i]])
+            before = np.concatenate([before, now[here]])
             keep = lengths[row] > i
-            row, node, left = row[keep], node[keep], left[keep]
+            row, node, left, before = row[keep], node[keep], left[keep], before[keep]
             node = self.next[node, flat[row, i]]
             keep = node != NONE
-            row, node, left = row[keep], node[keep], left[keep]
+            row, node, left, before = row[keep], node[keep], left[keep], before[keep]
             done = lengths[row] == i + 1
             token = np.where(done, self.ends[1][node], self.ends[0][node])
             can = np.nonzero(token != NONE)[0]
             ok = can[self.fits(left[can], token[can])]
             last[row[ok], i + 1] = token[ok]
+            now[row[ok]] = before[ok] + 1  # the output of the transition: one token more than the start had
+        return last, lengths, now
+
+    def _back(self, last: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         at = lengths.copy()
         tokens = []
-        live = np.arange(len(words))
+        live = np.arange(len(lengths))
         while len(live):
             t = last[live, at[live]]
-            step = np.full(len(words), NONE, np.int32)
+            step = np.full(len(lengths), NONE, np.int32)
             step[live] = t
             tokens.append(step)
             at[live] -= self.width[t]
             live = live[at[live] > 0]
-        grid = np.stack(tokens[::-1], axis=1) if tokens else np.empty((len(words), 0), np.int32)
+        grid = np.stack(tokens[::-1], axis=1) if tokens else np.empty((len(lengths), 0), np.int32)
         return [line[line != NONE] for line in grid]
+
+
+class CountStates:
+    """The transducer's states and transitions by number, made when they are first met.
+
+    State 0 is a word's beginning. A state's starts are (trie node, token
+    before, tokens before it less the tokens of the whole prefix).
+    """
+
+    def __init__(self, automaton: BpeAutomaton, keep: int = 100_000):
+        self.automaton, self.keep = automaton, keep
+        self.clear()
+
+    def clear(self) -> None:
+        first = ((0, self.automaton.start, 0),)
+        self.numbers, self.states = {first: 0}, [first]
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.finals: dict[int, int] = {}
+
+    def _reach(self, state: int, byte: int, kind: int) -> tuple[list, tuple | None]:
+        a = self.automaton
+        moved = [(int(a.next[node, byte]), left, less) for node, left, less in self.states[state]]
+        moved = [x for x in moved if x[0] != NONE]
+        can = [(int(a.ends[kind][node]), left, less) for node, left, less in moved if a.ends[kind][node] != NONE]
+        if not can:
+            return moved, None
+        good = a.fits(np.asarray([c[1] for c in can]), np.asarray([c[0] for c in can]))
+        return moved, next((c for c, ok in zip(can, good.tolist()) if ok), None)
+
+    def move(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, tokens emitted) on a byte inside a word."""
+        key = state << 8 | byte
+        if key not in self.moves:
+            moved, hit = self._reach(state, byte, 0)
+            if hit is None:  # no token ends here: the byte alone isn't one
+                raise ValueError("a symbol is not in the vocabulary")
+            emitted = hit[2] + 1
+            new = tuple(sorted((node, left, less - emitted) for node, left, less in moved)) + ((0, hit[0], 0),)
+            number = self.numbers.get(new)
+            if number is None:
+                number = self.numbers[new] = len(self.states)
+                self.states.append(new)
+            self.moves[key] = (number, emitted)
+        return self.moves[key]
+
+    def final(self, state: int, byte: int) -> int:
+        """Tokens emitted on a word's last byte."""
+        key = state << 8 | byte
+        if key not in self.finals:
+            hit = self._reach(state, byte, 1)[1]
+            if hit is None:
+                raise ValueError("a symbol is not in the vocabulary")
+            self.finals[key] = hit[2] + 1
+        return self.finals[key]
