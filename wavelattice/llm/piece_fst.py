@@ -1,26 +1,37 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
-
-A model file is compiled to three parts: the normaliser (space to the visible
-blank, one blank before the text), the pieces as a trie acceptor, and byte
-fallback arcs for characters no piece covers. Composed with an input, they
-give a lattice whose arcs are pieces; its shortest path in the tropical
-semiring (weights add along a path, the least total wins) is the encoding:
-
-* a unigram model's arcs weigh minus their scores;
-* a merge model's arcs weigh one each, and two arcs may follow one another
-  only if they are the encoding of their own concatenation (weight infinity
-  otherwise). Exactly one path is finite then: the result of the merges.
-  :class:`BpeAutomaton` holds that composition, determinised as it is met.
-
-No piece has a blank after another character, so a lattice splits before each
-run of blanks (and before marks for which the same holds), and paths of
-distinct parts are kept in a bounded table.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
+
+A model file is compiled to three transducers:
+
+* the normaliser: the file's character map (longest match first, all other
+  characters as they are), white space squeezed or not, the blank before the
+  text, and spaces to the visible blank;
+* the pieces: a trie over bytes whose final states emit a piece and weigh;
+* the fallback: an arc over each character that no piece covers, which emits
+  its bytes' pieces.
+
+An input is composed with all three (:class:`Lattice` expands the product
+position by position, for many inputs side by side), and the shortest path in
+the tropical semiring is the encoding: weights add along a path and the least
+total wins. Totals are single floats, as the format's own library has them;
+among equals the path whose last arc begins first wins.
+
+* A unigram model's arcs weigh minus their scores.
+* A merge model's arcs weigh one each, and the product has one more factor:
+  two arcs may follow one another only if they are the encoding of their own
+  concatenation (weight infinity otherwise). Exactly one path is finite then:
+  the result of the merges. :class:`BpeAutomaton` answers for pairs.
+
+Where no piece of a merge model has a blank after another character, a lattice
+splits before each run of blanks (and before marks for which the same holds),
+and paths of distinct parts are kept in a bounded table. A unigram model's
+texts go whole: how totals round depends on all that comes before.
 
 Defined results: a null or empty text has no ids; text of any length is
-encoded whole; characters outside the vocabulary become byte pieces; a
-U+2581 in a text decodes to a space (``round_trip`` is false then); a null
-doc_id passes through; an empty table gives no rows; further columns are
-ignored.
+encoded whole; characters outside the vocabulary become byte pieces (one
+unknown piece for a run of them if the model has none); a U+2581 in a text
+decodes to a space (``round_trip`` is false then); a null doc_id passes
+through; repeated rows give repeated results; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +43,12 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe_automaton import BpeAutomaton
-from .shared import id_text, text_slices
+from .bpe_automaton import NONE, BpeAutomaton
+from .shared import TABLES, arrow_map, id_text, text_slices
 
 BLANK = "▁"
 #: Kinds of pieces in a model file (fixed values of the format).
@@ -86,83 +98,200 @@ def read_model(path: str) -> dict:
     return out
 
 
-def shortest_path(text: str, arcs: dict[str, tuple[int, float]], longest: int, fallback: float) -> list[tuple[int, str]]:
-    """Tropical shortest path through the lattice of a text: (piece id, text), id -1 for a fallback character."""
-    best: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * len(text)
-    for start in range(len(text)):
-        here = best[start][0]
-        for end in range(start + 1, min(len(text), start + longest) + 1):
-            if (arc := arcs.get(text[start:end])) and here + arc[1] < best[end][0]:
-                best[end] = (here + arc[1], start, arc[0])
-        if text[start] not in arcs and here + fallback < best[start + 1][0]:
-            best[start + 1] = (here + fallback, start, -1)
-    out, at = [], len(text)
-    while at:
-        _, start, piece = best[at]
-        out.append((piece, text[start:at]))
-        at = start
-    return out[::-1]
+def read_charsmap(blob: bytes) -> dict[str, str]:
+    """All pairs of a compiled character map: a double array over bytes whose leaves point into a pool of strings."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, pool = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    found, todo = {}, [(offset(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for byte in range(1, 256):
+            child = at ^ byte
+            if child < len(units) and units[child] & 0x800000FF == byte:
+                unit = units[child]
+                below = child ^ offset(unit)
+                if unit >> 8 & 1:
+                    start = units[below] & 0x7FFFFFFF
+                    found[key + bytes([byte])] = pool[start : pool.index(b"\0", start)]
+                todo.append((below, key + bytes([byte])))
+    return {k.decode("utf-8", "ignore"): v.decode() for k, v in found.items()}
+
+
+class Normaliser:
+    """Text to the pieces' alphabet."""
+
+    def __init__(self, model: dict):
+        self.map = read_charsmap(model["charsmap"])
+        self.squeeze, self.prefix, self.escape = model["squeeze"], model["dummy_prefix"], model["escape"]
+        keys = sorted(self.map, key=len, reverse=True)  # alternatives are tried in order: the longest first
+        self.sub = re.compile("|".join(map(re.escape, keys))).sub if keys else None
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.sub:
+            text = self.sub(lambda m: self.map[m.group()], text)
+        if self.escape:
+            text = text.replace(BLANK, " ")
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+            if not text:
+                return ""
+        text = " " * self.prefix + text
+        return text.replace(" ", BLANK) if self.escape else text
+
+
+class Lattice:
+    """Pieces and fallback composed with inputs, and tropical shortest paths through them.
+
+    ``weights``: by token; ``automaton``: the trie, and the answers for pairs
+    where ``pairs`` is set.
+    """
+
+    def __init__(self, automaton: BpeAutomaton, weights: np.ndarray, fallback: float, pairs: bool, foreign):
+        self.automaton, self.pairs, self.foreign = automaton, pairs, foreign
+        self.fallback = len(weights)
+        self.weights = np.append(weights, fallback).astype(np.float32)
+
+    def _allowed(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        if not self.pairs:
+            return np.ones(len(token), bool)
+        out = left == self.fallback
+        todo = np.nonzero(~out)[0]
+        out[todo] = self.automaton.fits(left[todo], token[todo])
+        return out
+
+    def paths(self, texts: list[str]) -> list[np.ndarray]:
+        """Tokens of each text (not empty); ``fallback`` for each character without a piece."""
+        out: list = [None] * len(texts)
+        words = [t.encode() for t in texts]
+        for part in self.automaton._alike(words):
+            for i, path in zip(part, self._paths([texts[i] for i in part], [words[i] for i in part])):
+                out[i] = path
+        return out
+
+    def _paths(self, texts: list[str], words: list[bytes]) -> list[np.ndarray]:
+        trie = self.automaton
+        lengths = np.fromiter(map(len, words), np.int32, len(words))
+        n = int(lengths.max())
+        flat = np.zeros((len(words), n), np.uint8)
+        flat[np.arange(n) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        skip = np.zeros((len(words), n), np.int8)  # bytes of a character without a piece that begins there
+        for r, text in enumerate(texts if self.foreign.search("".join(texts)) else ()):
+            for m in self.foreign.finditer(text):
+                skip[r, len(text[: m.start()].encode())] = len(m.group().encode())
+        falls = bool(skip.any())
+        best = np.full((len(words), n + 1), np.inf, np.float32)
+        token = np.full((len(words), n + 1), NONE, np.int32)
+        came = np.zeros((len(words), n + 1), np.int32)
+        best[:, 0], token[:, 0] = 0, trie.start
+        row = node = start = np.zeros(0, np.int32)
+
+        def relax(r, first, end, t):
+            total = best[r, first] + self.weights[t]
+            if self.pairs:  # no two finite paths meet
+                best[r, end], token[r, end], came[r, end] = total, t, first
+                return
+            order = np.lexsort((first, total, r))
+            one = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]
+            best[r[one], end], token[r[one], end], came[r[one], end] = total[one], t[one], first[one]
+
+        for i in range(n):
+            here = np.nonzero((lengths > i) & np.isfinite(best[:, i]))[0].astype(np.int32)
+            row, node = np.concatenate([row, here]), np.concatenate([node, np.zeros(len(here), np.int32)])
+            start = np.concatenate([start, np.full(len(here), i, np.int32)])
+            node = np.where(lengths[row] > i, trie.next[node, flat[row, i]], NONE)
+            keep = node != NONE
+            row, node, start = row[keep], node[keep], start[keep]
+            emits = trie.ends[0][node]
+            can = np.nonzero(emits != NONE)[0]
+            ok = can[self._allowed(token[row[can], start[can]], emits[can])]
+            r, first, t = row[ok], start[ok], emits[ok]
+            for n_bytes in range(1, min(4, i + 1) + 1) if falls else ():
+                at = i + 1 - n_bytes
+                jump = np.nonzero((skip[:, at] == n_bytes) & (lengths > i) & np.isfinite(best[:, at]))[0].astype(np.int32)
+                r, first = np.concatenate([r, jump]), np.concatenate([first, np.full(len(jump), at, np.int32)])
+                t = np.concatenate([t, np.full(len(jump), self.fallback, np.int32)])
+            if len(r):
+                relax(r, first, i + 1, t)
+        at, live, steps = lengths.copy(), np.arange(len(words)), []
+        while len(live):
+            step = np.full(len(words), NONE, np.int32)
+            step[live] = token[live, at[live]]
+            steps.append(step)
+            at[live] = came[live, at[live]]
+            live = live[at[live] > 0]
+        grid = np.stack(steps[::-1], axis=1)
+        return [line[line != NONE] for line in grid]
 
 
 class PieceTransducer:
     def __init__(self, model: dict, keep: int = 300_000):
-        if model["charsmap"] or model["squeeze"] or not (model["escape"] and model["dummy_prefix"]):
-            raise ValueError("only the identity normaliser with a blank before the text is supported")
-        self.pieces = model["pieces"]
-        arcs = {p: (i, -s) for i, (p, s, kind) in enumerate(self.pieces) if kind in (NORMAL, USER, UNUSED)}
+        self.pieces, self.normalise = model["pieces"], Normaliser(model)
+        self.prefix, self.squeeze, self.unigram = model["dummy_prefix"], model["squeeze"], model["unigram"]
+        # what a unigram model marks unused is never chosen; user pieces weigh less than any other
+        kinds = (NORMAL, USER) if self.unigram else (NORMAL, USER, UNUSED)
+        scores = [s for _, s, kind in self.pieces if kind == NORMAL]
+        low, high = min(scores, default=0.0), max(scores, default=0.0)
+        score = lambda p, s, kind: float(np.float32(len(p.encode())) * np.float32(high)) - 0.1 if kind == USER else s
+        arcs = {p: (i, -score(p, s, kind)) for i, (p, s, kind) in enumerate(self.pieces) if kind in kinds}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
-        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in arcs):
-            raise ValueError("a piece spans a blank inside")
-        self.arcs, self.longest = arcs, max(map(len, arcs))
+        apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in arcs)
         # No path crosses a mark that no piece has after any other character.
         marks = "".join(c for c in ".,;:!?\n" if not any(re.search(f"[^{BLANK}.,;:!?\n]{re.escape(c)}", p) for p in arcs))
-        self.cuts = re.compile(f" +[{marks}]*[^ {marks}]*|[{marks}]+[^ {marks}]*" if marks else " +[^ ]*").findall
-        self.unigram = model["unigram"]
-        self.fallback = max((w for _, w in arcs.values()), default=0.0) + 10.0
-        chars = "".join(sorted(c for c in arcs if len(c) == 1))
-        self.foreign = re.compile(f"[^{re.escape(chars)}]")
+        self.cuts = re.compile(f"{BLANK}+[{marks}]*[^{BLANK}{marks}]*|[{marks}]+[^{BLANK}{marks}]*|[^{BLANK}{marks}]+" if marks else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall if apart else lambda t: [t] if t else []
         self.surface = [
-            bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL,) else p.replace(BLANK, " ").encode()
+            bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(BLANK, " ").encode()
             for p, _, kind in self.pieces
         ]
-        if not self.unigram:
-            words = {p.encode(): i for p, (i, _) in arcs.items()}
-            text = {i: p for p, (i, _) in arcs.items()}
-
-            def merge(a: int, b: int):
-                arc = arcs.get(text[a] + text[b])
-                return arc and (arc[1], arc[0])
-
-            self.automaton = BpeAutomaton(words, words, merge, lambda w, _: [arcs[c][0] for c in w.decode()])
-        self.keep, self.known = keep, {}
+        chars = "".join(sorted(c for c in arcs if len(c) == 1))
+        words = {p.encode(): i for p, (i, _) in arcs.items()}
+        text = {i: p for p, (i, _) in arcs.items()}
 
-    def _byte_ids(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+        def merge(a: int, b: int):
+            arc = arcs.get(text[a] + text[b])
+            return arc and (arc[1], arc[0])
 
-    def _learn(self, cuts: list[str]) -> None:
+        automaton = BpeAutomaton(words, words, merge, lambda w, _: [arcs[c][0] for c in w.decode()])
+        weights = np.ones(len(self.pieces))
         if self.unigram:
-            for cut in cuts:
-                path = shortest_path(cut.replace(" ", BLANK), self.arcs, self.longest, self.fallback)
-                ids = [i for piece, char in path for i in ([piece] if piece >= 0 else self._byte_ids(char))]
-                self.known[cut] = array("i", ids).tobytes()
-            return
-        shown = [c.replace(" ", BLANK) for c in cuts]
-        split = [[s] if not self.foreign.search(s) else [x for x in re.split(f"({self.foreign.pattern})", s) if x] for s in shown]
-        words = list({p for parts in split for p in parts if p[0] in self.arcs})
-        ids = dict(zip(words, self.automaton.run([w.encode() for w in words])))
-        for cut, parts in zip(cuts, split):
-            out = array("i")
-            for p in parts:
-                out.extend(ids[p].tolist() if p in ids else self._byte_ids(p))
-            self.known[cut] = out.tobytes()
+            for i, w in arcs.values():
+                weights[i] = w
+        self.lattice = Lattice(automaton, weights, 10.0 - low if self.unigram else 1.0, not self.unigram, re.compile(f"[^{re.escape(chars)}]"))
+        self.keep, self.known = keep, {}
+        TABLES.append(self.known.clear)
+
+    def _ids(self, text: str, path: np.ndarray) -> bytes:
+        if not self.lattice.foreign.search(text):
+            return path.tobytes()
+        out, chars, fell = array("i"), self.lattice.foreign.finditer(text), False
+        for token in path.tolist():
+            foreign = token == self.lattice.fallback
+            if not foreign:
+                out.append(token)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in next(chars).group().encode())
+            elif not fell:
+                out.append(self.unknown)
+            fell = foreign
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[array]:
         if len(self.known) > self.keep:
             self.known.clear()
-        cuts = [self.cuts(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
-        if new := set().union(*cuts).difference(self.known):
-            self._learn(list(new))
+        if self.unigram:
+            shown = [self.normalise(t) for t in texts]
+            some = [t for t in shown if t]
+            ids = iter(map(self._ids, some, self.lattice.paths(some)))
+            return [array("i", next(ids)) if t else array("i") for t in shown]
+        cuts = [self.cuts(self.normalise(t)) for t in texts]
+        new = list(set().union(*cuts).difference(self.known))
+        if new:
+            self.known.update(zip(new, map(self._ids, new, self.lattice.paths(new))))
         get, out = self.known.__getitem__, []
         for c in cuts:
             ids = array("i")
@@ -171,9 +300,14 @@ class PieceTransducer:
         return out
 
     def decode(self, ids) -> str:
-        """The inverse transducer: surfaces of the pieces without the blank before the text."""
-        data = b"".join(map(self.surface.__getitem__, ids))
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+        """The inverse transducers: surfaces of the pieces, without the blank before the text."""
+        surfaces = [self.surface[i] for i in ids]
+        for k, part in enumerate(surfaces if self.squeeze or self.prefix else ()):
+            if ids[k] != self.unknown:
+                surfaces[k] = part.removeprefix(b" ")
+            if surfaces[k] or part and not self.squeeze:  # all blanks at the beginning go, or one
+                break
+        return b"".join(surfaces).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -203,4 +337,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows.append((*row, ids.tolist()) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(id_text(docs, id_col, text_col), run, schema)
