@@ -24,7 +24,8 @@ def _vocabulary(name: str) -> str:
 
 def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.coalesce("digest_ok", F.col("error").isNull())  # a revisit has no payload to digest
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", sound.alias("sound"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 def op2_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ ORACLES = {
              m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, true AS sound, '' AS error
         FROM m""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
