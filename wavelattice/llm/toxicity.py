@@ -21,6 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, text_slices
+from .shared import TABLES, arrow_map, id_text, text_slices
 
 # Letters of other scripts that look like Latin ones, and what
 # digits and signs stand for inside a word.
@@ -56,6 +58,7 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+TABLES.append(_FOLD.clear)
 _LEET = re.compile(r"[a-z]*[0134578@$!|]+[a-z@$!|0-9]*")
 _LEET_TABLE = str.maketrans(DIGITS)
 _OTHER = re.compile(r"[^\w]+|_+")
@@ -139,24 +142,41 @@ def cover(entries: list[str], purity: list[float], has: list[list[int]], least:
     and stay out; ``purity`` multiplies what an entry explains. Among beginnings of one word the longest that explains
     nearly as much is taken.
     """
-    rows_of: list[set[int]] = [set() for _ in entries]
+    rows_of: dict[str, list[int]] = {e: [] for e in entries}
     for row, found in enumerate(has):
         for e in found:
-            rows_of[e].add(row)
+            rows_of[entries[e]].append(row)
     need = [fold_cover] * len(has)
+    weight = dict(zip(entries, purity))
+    gain = lambda e: sum(need[r] > 0 for r in rows_of[e])
+    in_order = sorted(entries)
+    heap = [(-gain(e) * weight[e], e) for e in entries]
+    heapq.heapify(heap)
+    out: set[str] = set()
     chosen: list[str] = []
-    live = set(range(len(entries)))
-    while live and len(chosen) < most:
-        gain = {e: sum(need[r] > 0 for r in rows_of[e]) for e in live}
-        live = {e for e in live if gain[e] >= least}
-        if not live:
-            break
-        top = min(live, key=lambda e: (-gain[e] * purity[e], entries[e]))
-        best = max((e for e in live if entries[e].startswith(entries[top]) and gain[e] >= 0.97 * gain[top]), key=lambda e: (len(entries[e]), entries[e]))
-        chosen.append(entries[best])
+    while heap and len(chosen) < most:
+        claimed, top = heapq.heappop(heap)
+        have = gain(top)
+        if top in out or have < least:
+            continue
+        if -have * weight[top] > claimed:  # gains only fall: put back what has fallen behind
+            heapq.heappush(heap, (-have * weight[top], top))
+            continue
+        longer = []
+        for e in in_order[bisect.bisect_left(in_order, top) :]:
+            if not e.startswith(top):
+                break
+            if e not in out and gain(e) >= max(least, 0.97 * have):
+                longer.append(e)
+        best = max(longer, key=lambda e: (len(e), e))
+        chosen.append(best)
         for r in rows_of[best]:
             need[r] -= 1
-        live -= {e for e in live if entries[best].startswith(entries[e]) or entries[e].startswith(entries[best])}
+        for e in in_order[bisect.bisect_left(in_order, best) :]:
+            if not e.startswith(best):
+                break
+            out.add(e)
+        out.update(best[:n] for n in range(1, len(best)))
     return chosen
 
 
@@ -180,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
                 found[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], ["entry", "n"])
 
-    toxic = rows.filter("toxic = 1").select("text").mapInArrow(teach, "entry string, n long")
+    toxic = arrow_map(rows.filter("toxic = 1").select("text"), teach, "entry string, n long")
     sums = toxic.groupBy("entry").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("entry") == ""))
     top = sums.orderBy(F.col("entry") != "", F.desc("n"), "entry").limit(10 * entries).toArrow()
     seen = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
@@ -195,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
                 found[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["entry", "n"])
 
-    counted = rows.filter("toxic = 0").select("text").mapInArrow(clean, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    counted = arrow_map(rows.filter("toxic = 0").select("text"), clean, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
     other = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist()))
     n_clean = other.pop("", 0)
     if not n_toxic or not n_clean:
@@ -216,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
             found = [sorted(entry_at[c] for c in candidates(fold(t)) if c in entry_at) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["has"])
 
-    has = rows.filter("toxic = 1").select("text").mapInArrow(hold, "has array<int>").toArrow().column(0).to_pylist()  # ``sample`` rows at most
+    has = arrow_map(rows.filter("toxic = 1").select("text"), hold, "has array<int>").toArrow().column(0).to_pylist()  # ``sample`` rows at most
     weights = {e: odd[e] for e in cover(sorted(odd), [odd[e] ** 2 for e in sorted(odd)], has, max(least, -(-n_toxic // 100)), entries)}
     draft = Lexicon(weights, list(EXCEPTIONS), (0.0, 0.0, 0.0))
 
@@ -226,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int =
             found = [own.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), batch.column(1)], ["x", "y", "toxic"])
 
-    points = rows.mapInArrow(measure, "x double, y double, toxic int").toArrow()  # ``sample`` rows at most
+    points = arrow_map(rows, measure, "x double, y double, toxic int").toArrow()  # ``sample`` rows at most
     order = np.lexsort([points.column(k).to_numpy() for k in range(3)])  # the same sums in any order of tasks
     x = np.column_stack([points.column(0).to_numpy(), points.column(1).to_numpy()])[order]
     return Lexicon(draft.weights, list(EXCEPTIONS), fit_curve(x, points.column(2).to_numpy()[order].astype(float)))
@@ -243,7 +263,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
                 found = np.asarray([own.score(t) for t in batch.column("text").to_pylist()], np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    out = arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -261,4 +281,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [own.score(t or "") < 0.5 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
