@@ -15,7 +15,8 @@ their group in a plain sort-merge join, which adaptive execution can split
 where one group is hot.
 
 Defined results: a null text counts as empty, and empty texts form a group
-like any other; a null doc_id ranks below all others; of rows repeated with
+like any other; a null doc_id ranks below all others (so does the id -2^63,
+which comes back null); of rows repeated with
 the same doc_id and text exactly one is kept; an empty table gives no rows;
 other columns are ignored by :func:`exact_dedup` and passed on by
 :func:`drop_duplicates`.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, shuffle_parts, stored, text_slices
+from .shared import arrow_map, fresh_prefix, id_text, shuffle_parts, stored, text_slices
 
 LOWEST = -(2**63)
 
@@ -141,7 +142,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, capacity_rows: int = 256, capacity_bytes: int = 1 << 20, max_depth: int = 18, first_depth: int = 14) -> DataFrame:
     """The index files: a row for each batch's share of a group of equal texts."""
     spark = docs.sparkSession
-    rows = docs.select("text").mapInArrow(_prefix_counts(first_depth), "prefix long, n long, size long")
+    rows = arrow_map(docs.select("text"), _prefix_counts(first_depth), "prefix long, n long, size long")
     found = rows.groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toArrow()  # 2 ** first_depth rows at most
     bits = first_depth
     n, size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -154,11 +155,11 @@ def build_index(docs: DataFrame, capacity_rows: int = 256, capacity_bytes: int =
         n, size = (np.repeat(-(-x // (1 << grow)), 1 << grow) for x in (n, size))
     depth, slots, _ = build_directory(n, size, capacity_rows, capacity_bytes)
     dealt = (
-        docs.mapInArrow(_combine(depth, slots), "bucket long, h long, text string, ids array<long>")
+        arrow_map(docs, _combine(depth, slots), "bucket long, h long, text string, ids array<long>")
         .repartition(shuffle_parts(spark), "bucket")
         .sortWithinPartitions("bucket", "h")
     )
-    return stored(dealt.mapInArrow(_own, "bucket long, h long, chain int, text_sha256 string, uid long, ids array<long>"))
+    return stored(arrow_map(dealt, _own, "bucket long, h long, chain int, text_sha256 string, uid long, ids array<long>"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
@@ -188,11 +189,9 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows repeated with the same doc_id and text are one row afterwards.
     """
-    keys = exact_dedup(docs).filter("kept").select(
-        F.coalesce("doc_id", F.lit(LOWEST)).alias("__id"), F.col("text_sha256").alias("__sha")
-    )
-    rows = docs.withColumns(
-        {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "__sha": F.sha2(F.coalesce("text", F.lit("")), 256)}
-    )
-    kept = rows.join(keys, ["__id", "__sha"], "left_semi")
-    return kept.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    own = fresh_prefix(docs.columns)
+    key, sha = f"{own}_id", f"{own}_sha"
+    keys = exact_dedup(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LOWEST)).alias(key), F.col("text_sha256").alias(sha))
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), sha: F.sha2(F.coalesce("text", F.lit("")), 256)})
+    kept = rows.join(keys, [key, sha], "left_semi")
+    return kept.dropDuplicates([key, sha]).drop(key, sha)
