@@ -54,23 +54,6 @@ def test_pieces_equal_the_library(some):
     assert [machine.decode(x) for x in ids] == [library.decode(x.tolist()) for x in ids]
 
 
-def test_unigram_path_is_the_least_of_all():
-    arcs = {"▁": (0, 1.0), "a": (1, 2.0), "b": (2, 2.5), "ab": (3, 4.0), "▁a": (4, 2.2)}
-    assert [p for p, _ in piece_fst.shortest_path("▁ab", arcs, 2, 9.0)] == [4, 2]
-
-
-def test_state_maps_scan():
-    machine = token_counts.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    algebra = token_counts.StateMaps(machine)
-    text = "the cat's hat. again and again"
-    maps = []
-    for at in range(0, len(text), 4):
-        head, closed, tail = token_counts.chunk_map(text[at : at + 4])
-        maps.append((head, None if closed is None else machine.counts([closed])[0], tail))
-    ends = [algebra.total(m) for m in algebra.scan(maps)]
-    assert ends == token_counts.count_texts([text[: at + 4] for at in range(0, len(text), 4)], public_tokenizers.path("word_bpe_49k.json"))
-
-
 def test_packing_is_whole_and_gapless(spark):
     df = docs(spark, [(i, t) for i, t in enumerate(ODD)] + [(0, None), (None, "word " * 3000)])
     rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), capacity=64).collect()
@@ -210,7 +193,7 @@ def test_jaccard_join_equals_brute_force(spark):
     rows += [(n + k, f"{hot} tail{k} of{k} it{k}") for k in range(30)] + [(200, "a b"), (201, "a b"), (202, None), (203, ""), (204, "a b c")]
     want = brute_links(rows)
     degree = {i: sum(i in p for p in want) for i, _ in rows}
-    for options in ({}, {"small": 4, "block": 8}, {"small": 4, "block": 8, "rounds": 0}, {"small": 4, "rounds": 1}):
+    for options in ({}, {"small": 4, "block": 8}, {"small": 4, "block": 8, "depth": 0}, {"small": 4, "depth": 1}):
         found = {r.doc_id: r for r in jaccard_join.jaccard_join(docs(spark, rows), **options).collect()}
         assert {i: found[i].n_links for i in degree} == degree
         assert all(found[a].class_id == found[b].class_id for a, b in want)
