@@ -1,4 +1,4 @@
-"""Voice commands: ``start``, ``stop``, ``status`` and ``mode X``."""
+"""Voice commands: ``start``, ``stop`` and ``status``, whatever follows them, and ``mode X``."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ MODES = ("standby", "command", "dictation", "mute")
 
 def parse(text: Column, modes: tuple[str, ...] = MODES) -> Column:
     """struct(action, mode, ok) of a command text."""
-    words = F.split(F.lower(F.trim(F.replace(text, F.lit("-"), F.lit("_")))), r"\s+")
-    action, mode = F.get(words, 0), F.get(words, 1)
-    simple = action.isin("start", "stop", "status") & (F.size(words) == 1)
+    words = F.split(F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
+    action, mode = F.get(words, 0), F.replace(F.get(words, 1), F.lit("-"), F.lit("_"))
+    simple = action.isin("start", "stop", "status")
     switch = (action == "mode") & (F.size(words) == 2) & mode.isin(*modes)
     ok = F.coalesce(simple | switch, F.lit(False))
     return F.struct(F.when(ok, action).alias("action"), F.when(switch, mode).alias("mode"), ok.alias("ok"))

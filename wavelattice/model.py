@@ -37,6 +37,12 @@ def rejects(frames: DataFrame, op: str, ranged: bool = True) -> DataFrame:
     return frames.filter(~valid(ranged=ranged)).select(F.lit(op).alias("op"), "source_id", "seq", reason.alias("reason"))
 
 
+def refused_by(frames: DataFrame, out: DataFrame, op: str, ranged: bool = True) -> DataFrame:
+    """(op, source_id, seq, reason) of the frames that an operator of one frame to one turned away, by the contract or by its own result."""
+    inside = accepted(frames, ranged).join(out.select("source_id", "stream_id", "seq"), ["source_id", "stream_id", "seq"], "left_anti")
+    return rejects(frames, op, ranged).unionByName(inside.select(F.lit(op).alias("op"), "source_id", "seq", F.lit("result").alias("reason")))
+
+
 def frames_embeddings(spark: SparkSession, sf_dir: str, channels: int = 1) -> DataFrame:
     """One frame per embedding, ordered by vec_id within its label."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -64,13 +70,19 @@ def frames_events(spark: SparkSession, sf_dir: str, scale: float = 1024.0, size:
 
 
 def digest(frames: DataFrame, *more: str) -> DataFrame:
-    """A frame's samples as numbers that compare well: count, sum and index-weighted sum (no negative zeros)."""
+    """A frame's samples as numbers that compare well: count, sum, index-weighted sum (no negative zeros), and an exact sum.
+
+    ``exact`` takes each sample times 2 ** 24, rounded down, times its place:
+    two frames agree in it only if their samples do, but for errors below
+    2 ** -24 that cross no boundary.
+    """
     s = F.col("samples")
     add = lambda a, x: a + x.cast("double")
     return frames.select(
         "source_id", "seq", *more, F.size(s).cast("long").alias("n"),
         (F.round(F.aggregate(s, F.lit(0.0), add), 4) + 0.0).alias("total"),
         (F.round(F.aggregate(F.transform(s, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), add), 3) + 0.0).alias("weighted"),
+        F.aggregate(F.transform(s, lambda x, i: F.floor(x.cast("double") * 16777216.0).cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("exact"),
     )
 
 
@@ -81,10 +93,15 @@ EVENTS_SQL = (
 )
 
 
+def digest_tail(rows: str, more: str = "") -> str:
+    """DuckDB SQL: the digest of rows (source_id, seq, samples)."""
+    return f"""SELECT source_id, seq, {more}len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) + 0.0 AS total,
+           round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) + 0.0 AS weighted,
+           list_sum(list_transform(samples, lambda x, i: i * floor(x::DOUBLE * 16777216)::BIGINT))::BIGINT AS exact FROM {rows}"""
+
+
 def digest_sql(samples: str, of: str = "emb", where: str = "true", more: str = "") -> str:
     """DuckDB SQL: the digest of an expression over the frames of a view."""
     view = EMBEDDINGS_SQL if of == "emb" else EVENTS_SQL
     return f"""WITH {view}, o AS (SELECT * REPLACE ({samples} AS samples) FROM {of} WHERE {where})
-    SELECT source_id, seq, {more} len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) + 0.0 AS total,
-           round(list_sum(list_transform(samples, lambda x, i: x::DOUBLE * i)), 3) + 0.0 AS weighted
-    FROM o WHERE list_bool_and(list_transform(samples, lambda x: x BETWEEN -1 AND 1))"""
+    {digest_tail("o", more)} WHERE list_bool_and(list_transform(samples, lambda x: x BETWEEN -1 AND 1))"""

@@ -17,15 +17,19 @@ from .pointwise import rms
 
 
 def _latest(master: DataFrame, others: list[DataFrame], key: str = "source_id") -> DataFrame:
-    """Rows of ``master`` with o0, o1, ...: the newest frame of each other input that arrived no later."""
-    frame = F.struct("stamp_ns", "arrival_ns", "seq", "samples")
-    sides = [master.select(key, "arrival_ns", F.lit(len(others)).alias("side"), frame.alias("x"))]
-    sides += [o.select(key, "arrival_ns", F.lit(k).alias("side"), frame.alias("x")) for k, o in enumerate(others)]
+    """Rows of ``master`` (x) with o0, o1, ...: the newest frame of each other input that arrived no later, of the same rate and channels."""
+    frame = F.struct("stamp_ns", "arrival_ns", "seq", "sample_rate", "channels", "samples")
+    sides = [master.select(key, "stream_id", "arrival_ns", F.lit(len(others)).alias("side"), frame.alias("x"))]
+    sides += [o.select(key, "stream_id", "arrival_ns", F.lit(k).alias("side"), frame.alias("x")) for k, o in enumerate(others)]
     united = reduce(DataFrame.unionByName, sides)
     order = Window.partitionBy(key).orderBy("arrival_ns", "side", "x.seq").rowsBetween(Window.unboundedPreceding, 0)
     for k in range(len(others)):
         united = united.withColumn(f"o{k}", F.last(F.when(F.col("side") == k, F.col("x")), ignorenulls=True).over(order))
-    return united.filter(F.col("side") == len(others))
+    rows = united.filter(F.col("side") == len(others))
+    for k in range(len(others)):
+        same = (F.col(f"o{k}.sample_rate") == F.col("x.sample_rate")) & (F.col(f"o{k}.channels") == F.col("x.channels"))
+        rows = rows.withColumn(f"o{k}", F.when(same, F.col(f"o{k}")))
+    return rows
 
 
 def _age_ms(newer: str, older: str) -> Column:
@@ -81,10 +85,11 @@ def aec_linear(mic: DataFrame, ref: DataFrame, gain: float = 1.0, timeout_ms: in
 
 
 def sidechain_level(program: DataFrame, side: DataFrame, max_age_ms: int = 100) -> DataFrame:
-    """Program frames with ``level``: RMS of the latest side frame by arrival; null if there is none or it is stale."""
+    """Program frames with ``level``: RMS of the latest side frame by arrival; null if there is none, or it is invalid or older (in nanoseconds) than allowed."""
     rows = _latest(accepted(program), [side])
-    fresh = _age_ms("x.arrival_ns", "o0.arrival_ns").between(0, max_age_ms) & (F.size("o0.samples") > 0) & _inside(F.col("o0.samples"))
-    return rows.select("source_id", F.col("x.seq").alias("seq"), F.col("x.samples").alias("samples"), F.when(fresh, rms(F.col("o0.samples"))).alias("level"))
+    age = F.col("x.arrival_ns") - F.col("o0.arrival_ns")
+    fresh = age.between(0, max_age_ms * 1_000_000) & (F.size("o0.samples") > 0) & _inside(F.col("o0.samples"))
+    return rows.select("source_id", "stream_id", *(F.col(f"x.{c}").alias(c) for c in ("seq", "sample_rate", "channels", "samples")), F.when(fresh, rms(F.col("o0.samples"))).alias("level"))
 
 
 def crossfade(a: DataFrame, b: DataFrame, overlap: int = 1600, curve: str = "linear") -> DataFrame:

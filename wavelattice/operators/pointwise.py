@@ -1,7 +1,8 @@
 """Maps of one frame to one frame as Catalyst expressions.
 
 Arithmetic is in double and stored as float. A result outside [-1, 1] rejects
-the whole frame, except for the limiter, which saturates by design.
+the whole frame, except for the limiter, which saturates by design, and the
+offset removal, which asks only for finite numbers.
 """
 
 from __future__ import annotations
@@ -86,7 +87,9 @@ def dc_offset_removal(frames):
     total = lambda c: F.aggregate(F.filter(_S, lambda x, i: i % F.col("channels") == c), F.lit(0.0), lambda a, x: a + x.cast("double"))
     means = F.transform(F.sequence(F.lit(0), F.col("channels") - 1), lambda c: total(c) / (F.size(_S) / F.col("channels")))
     rows = rows.withColumn("__means", means)
-    return _with(rows, F.transform(_S, lambda x, i: x.cast("double") - F.element_at("__means", (i % F.col("channels") + 1).cast("int")))).drop("__means")
+    # ``__means`` is named twice: what is named once could be computed anew for every sample
+    corrected = F.transform(_S, lambda x, i: x.cast("double") - F.element_at("__means", (i % F.col("channels") + 1).cast("int")))
+    return _with(rows.filter(F.size("__means") > 0), corrected, check=False).drop("__means").filter(valid(ranged=False))
 
 
 def declick(frames, delta: float = 0.25, max_samples: int = 1):
@@ -218,10 +221,8 @@ def latency_compensation(frames, offset_ms: float = 0.0):
 def time_alignment(frames, period_ms: float = 20.0, phase_ms: float = 0.0, max_adjust_ms: float = 2.0):
     _require(period_ms > 0 and 0 <= phase_ms < period_ms and max_adjust_ms >= 0, "alignment parameters are out of range")
     period, phase, most = (int(round(x * 1e6)) for x in (period_ms, phase_ms, max_adjust_ms))
-    d = F.col("stamp_ns") - phase
     half = F.expr(f"(stamp_ns - {phase} + {period // 2} * CASE WHEN stamp_ns < {phase} THEN -1 ELSE 1 END) div {period}")
     snapped = F.lit(phase) + half * period
-    del d
     return frames.withColumn("__to", snapped).filter(F.abs(F.col("__to") - F.col("stamp_ns")) <= most).withColumn("stamp_ns", F.col("__to")).drop("__to")
 
 

@@ -1,9 +1,10 @@
-"""Ordered operators with state, as one streaming fold per source.
+"""Ordered machines with state, as one streaming fold per key.
 
-``step(state, frame) -> (state, outputs)`` is pure: it returns a new state and
-leaves the old one alone, so a rejected frame changes nothing, and batch,
-streaming and tests share it. Rows are dealt by source and sorted; a task
-holds one frame and one state at a time, never a source.
+``step(state, row) -> (state, rows)`` is pure: it returns a new state and
+leaves the old one alone, so batch, streaming and tests share it. Rows are
+dealt by key and sorted; a task holds one row and one state at a time, never a
+key's rows. Filters over samples are in :mod:`filters`, which advance many
+streams side by side.
 """
 
 from __future__ import annotations
@@ -12,32 +13,39 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Step = Callable[[object, dict], tuple[object, list[dict]]]
 OUT = "source_id string, seq long, samples array<float>"
 
 
-def ordered_fold(rows: DataFrame, step: Step, schema: str, key: str = "source_id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def ordered_fold(rows: DataFrame, step: Step, schema: str, key: str | tuple[str, ...] = "source_id", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    keys = (key,) if isinstance(key, str) else key
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
         for batch in batches:
             out: list[dict] = []
-            for row in batch.to_dict("records"):
-                if row[key] != at:
-                    at, state = row[key], None
+            for row in batch.to_pylist():
+                if (now := tuple(row[k] for k in keys)) != at:
+                    at, state = now, None
                 state, made = step(state, row)
                 out += made
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def _good(x: np.ndarray) -> bool:
+def good(x: np.ndarray) -> bool:
     return len(x) > 0 and bool(np.isfinite(x).all()) and bool((np.abs(x) <= 1.0).all())
 
 
@@ -45,153 +53,37 @@ def _emit(row: dict, y: np.ndarray) -> list[dict]:
     return [{"source_id": row["source_id"], "seq": row["seq"], "samples": y.astype(np.float32)}]
 
 
-def filter_step(make: Callable[[int, int], object], run: Callable, epoch: str = "next", ranged: bool = True) -> Step:
-    """A filter as a step. ``epoch``: "next" drops seq not above the last and starts anew after a gap;
-    "generation" drops older generations, keeps state while they are equal and starts anew when they rise; "none" keeps it."""
-
-    def step(state, row):
-        x = np.asarray(row["samples"], np.float64)
-        fs, c = int(row["sample_rate"]), int(row["channels"])
-        if not len(x) or len(x) % c or not np.isfinite(x).all() or ranged and not _good(x):
-            return state, []
-        inner, last = state if state else (None, None)
-        mark = row["seq"] if epoch == "next" else row.get("generation", 0)
-        if last is not None and (epoch == "next" and mark <= last or epoch == "generation" and mark < last):
-            return state, []
-        if inner is None or epoch == "next" and mark != last + 1 or epoch == "generation" and mark > last:
-            inner = make(fs, c)
-        inner, y = run(inner, x.reshape(-1, c), fs)
-        y = np.asarray(y, np.float32).ravel()
-        if not _good(y):
-            return state, []
-        return (inner, mark), _emit(row, y)
-
-    return step
-
-
-def _rc(cutoff: float, fs: int) -> tuple[float, float]:
-    rc, dt = 1 / (2 * math.pi * cutoff), 1 / fs
-    return dt / (rc + dt), rc / (rc + dt)
-
-
-def _low(state, x, a):
-    """First-order low pass; the output, kept as float32, is the state; begins at the first sample."""
-    y = np.empty(x.shape, np.float32)
-    last = state
-    for i in range(len(x)):
-        last = (x[i] if last is None else last + a * (x[i] - last)).astype(np.float32).astype(np.float64)
-        y[i] = last
-    return last, y.astype(np.float64)
-
-
-def _high(state, x, a):
-    """First-order high pass; begins at 0."""
-    y = np.empty(x.shape, np.float32)
-    for i in range(len(x)):
-        out = np.zeros(x.shape[1]) if state is None else (a * (state[1] + x[i] - state[0])).astype(np.float32).astype(np.float64)
-        state = (x[i], out)
-        y[i] = out
-    return state, y.astype(np.float64)
-
-
-def low_pass(cutoff: float = 3400.0) -> Step:
-    return filter_step(lambda fs, c: (None,), lambda s, x, fs: (lambda r: ((r[0],), r[1]))(_low(s[0], x, _rc(cutoff, fs)[0])))
-
-
-def high_pass(cutoff: float = 80.0) -> Step:
-    return filter_step(lambda fs, c: (None,), lambda s, x, fs: (lambda r: ((r[0],), r[1]))(_high(s[0], x, _rc(cutoff, fs)[1])), "generation", ranged=False)
-
-
-def band_pass(low_cut: float = 80.0, high_cut: float = 3400.0) -> Step:
-    def run(s, x, fs):
-        h, y = _high(s[0], x, _rc(low_cut, fs)[1])
-        low, z = _low(s[1], y, _rc(high_cut, fs)[0])
-        return (h, low), z
-
-    return filter_step(lambda fs, c: (None, None), run)
-
-
-def _notch_run(state, x, f0, q, fs):
-    w = 2 * math.pi * f0 / fs
-    alpha, cos = math.sin(w) / (2 * q), math.cos(w)
-    b0, b1, a2, a0 = 1.0, -2 * cos, 1 - alpha, 1 + alpha
-    x1, x2, y1, y2 = state if state is not None else (np.zeros(x.shape[1]),) * 4
-    y = np.empty_like(x)
-    for i in range(len(x)):
-        out = (b0 * x[i] + b1 * x1 + b0 * x2 - b1 * y1 - a2 * y2) / a0
-        x1, x2, y1, y2 = x[i], x1, out, y1
-        y[i] = out
-    return (x1, x2, y1, y2), y
-
-
-def notch(center: float = 60.0, q: float = 30.0) -> Step:
-    return filter_step(lambda fs, c: (None,), lambda s, x, fs: (lambda r: ((r[0],), r[1]))(_notch_run(s[0], x, center, q, fs)), ranged=False)
-
-
-def hum(frequency: float = 60.0, harmonics: int = 4, q: float = 30.0) -> Step:
-    """A cascade of notches at the multiples below the Nyquist frequency."""
-
-    def run(states, x, fs):
-        new = []
-        for k, s in enumerate(states, 1):
-            s, x = _notch_run(s, x, k * frequency, q, fs)
-            new.append(s)
-        return tuple(new), x
-
-    return filter_step(lambda fs, c: tuple(None for k in range(1, harmonics + 1) if k * frequency < fs / 2), run, "generation")
-
-
-def eq(low_cutoff: float = 250.0, high_cutoff: float = 4000.0, low_db: float = 0.0, mid_db: float = 0.0, high_db: float = 0.0) -> Step:
-    gains = [10 ** (d / 20) for d in (low_db, mid_db, high_db)]
-
-    def run(s, x, fs):
-        a, low = _low(s[0], x, _rc(low_cutoff, fs)[0])
-        b, high = _high(s[1], x, _rc(high_cutoff, fs)[1])
-        return (a, b), gains[0] * low + gains[1] * (x - low - high) + gains[2] * high
-
-    return filter_step(lambda fs, c: (None, None), run)
-
-
-def deesser(cutoff: float = 4500.0, threshold: float = 0.08, attenuation_db: float = -9.0) -> Step:
-    g = 10 ** (attenuation_db / 20)
-
-    def run(low, x, fs):
-        a = 1 - math.exp(-2 * math.pi * cutoff / fs)
-        y = np.empty_like(x)
-        for i in range(len(x)):
-            low = low + a * (x[i] - low)
-            high = x[i] - low
-            y[i] = low + np.where(np.abs(high) >= threshold, high * g, high)
-        return low, y
-
-    return filter_step(lambda fs, c: np.zeros(c), run, "none")
-
-
 def agc(target: float = 0.1, min_gain: float = 0.25, max_gain: float = 4.0, attack_ms: float = 10.0, release_ms: float = 250.0) -> Step:
     """Gain follows target / RMS of the frame, quicker when it falls."""
 
-    def run(gain, x, fs):
+    def step(gain, row):
+        x, c = np.asarray(row["samples"], np.float64), int(row["channels"])
+        if not good(x) or len(x) % c:
+            return gain, []
+        now = 1.0 if gain is None else gain
         level = math.sqrt(float((x * x).mean()))
         want = min(max(target / level, min_gain), max_gain) if level > 0 else max_gain
-        tau = (attack_ms if want < gain else release_ms) / 1000
-        gain = gain + (1 - math.exp(-len(x) / fs / tau)) * (want - gain)
-        return gain, x * gain
+        tau = (attack_ms if want < now else release_ms) / 1000
+        now += (1 - math.exp(-(len(x) // c) / row["sample_rate"] / tau)) * (want - now)
+        y = (x * now).astype(np.float32)
+        return (now, _emit(row, y)) if good(y) else (gain, [])
 
-    return filter_step(lambda fs, c: 1.0, run, "none")
+    return step
 
 
-def ducking(threshold: float = 0.05, gain_db: float = -12.0, attack_ms: float = 10.0, release_ms: float = 250.0, sample_rate: int = 16000) -> Step:
-    """Rows of ``sidechain_level``: the gain falls while the side is loud and recovers otherwise."""
+def ducking(threshold: float = 0.05, gain_db: float = -12.0, attack_ms: float = 10.0, release_ms: float = 250.0) -> Step:
+    """Rows of ``sidechain_level``: the gain falls while the side is loud and recovers otherwise, between the ducked gain and 1."""
     low = 10 ** (gain_db / 20)
 
     def step(gain, row):
-        gain = 1.0 if gain is None else gain
         x = np.asarray(row["samples"], np.float64)
-        level = row["level"]
-        want = low if level is not None and not math.isnan(level) and level >= threshold else 1.0
-        tau = (attack_ms if want < gain else release_ms) / 1000
-        gain = gain + (1 - math.exp(-len(x) / sample_rate / tau)) * (want - gain)
-        return gain, _emit(row, x * gain)
+        now, level = 1.0 if gain is None else gain, row["level"]
+        want = low if level is not None and level >= threshold else 1.0
+        tau = (attack_ms if want < now else release_ms) / 1000
+        now += (1 - math.exp(-(len(x) // row["channels"]) / row["sample_rate"] / tau)) * (want - now)
+        now = min(1.0, max(low, now))
+        y = (x * now).astype(np.float32)
+        return (now, _emit(row, y)) if good(y) else (gain, [])
 
     return step
 
@@ -199,7 +91,7 @@ def ducking(threshold: float = 0.05, gain_db: float = -12.0, attack_ms: float =
 def silence_removal(threshold: float = 0.02, hangover_ms: float = 200.0) -> Step:
     def step(left, row):
         x = np.asarray(row["samples"], np.float64)
-        if not _good(x):
+        if not good(x):
             return left, []
         n, c = len(x), int(row["channels"])
         left = 0 if left is None else left
@@ -210,75 +102,59 @@ def silence_removal(threshold: float = 0.02, hangover_ms: float = 200.0) -> Step
     return step
 
 
-def echo(delay_ms: float = 250.0, feedback: float = 0.35, wet: float = 0.4, dry: float = 0.8) -> Step:
-    def run(line, x, fs):
-        line, at = line[0].copy(), line[1]
-        y = np.empty_like(x)
-        for i in range(len(x)):
-            d = line[at].astype(np.float64)
-            y[i] = dry * x[i] + wet * d
-            line[at] = x[i] + feedback * d
-            at = (at + 1) % len(line)
-        return (line, at), y
-
-    return filter_step(lambda fs, c: (np.zeros((max(1, round(delay_ms * fs / 1000)), c), np.float32), 0), run, "none")
-
-
-#: Delays of the reverberator's four lines in milliseconds (fixed values).
-REVERB_MS = (29.7, 37.1, 41.1, 43.7)
-
-
-def reverb(room: float = 0.72, damping: float = 0.35, wet: float = 0.32, dry: float = 0.68) -> Step:
-    feedback = 0.20 + 0.65 * room
-
-    def make(fs, c):
-        return tuple((np.zeros((max(1, round(ms * fs / 1000)), c), np.float32), 0, np.zeros(c)) for ms in REVERB_MS)
-
-    def run(lines, x, fs):
-        total, new = np.zeros_like(x), []
-        for line, at, damp in lines:
-            line = line.copy()
-            for i in range(len(x)):
-                d = line[at].astype(np.float64)
-                damp = d * (1 - damping) + damp * damping
-                line[at] = x[i] + feedback * damp
-                total[i] += d
-                at = (at + 1) % len(line)
-            new.append((line, at, damp))
-        return tuple(new), dry * x + wet * total / len(lines)
-
-    return filter_step(make, run, "none")
-
-
 def clock_drift(alpha: float = 0.1, max_correction_ms: float = 2.0, reset_ms: float = 50.0) -> Step:
-    """Stamps follow the sample count; the drift's moving average corrects them within bounds."""
+    """Stamps follow the sample count; the drift's moving average corrects them within bounds.
+
+    A correction never takes back all of the frame before: at most its
+    duration less a nanosecond. Stamps are carried in extended precision and
+    rounded, half away from zero, in the output alone. A change of format
+    starts the timeline anew.
+    """
+    wide = np.longdouble
+    most, far = wide(max_correction_ms) * wide(1e6), wide(reset_ms) * wide(1e6)
 
     def step(state, row):
-        span = len(row["samples"]) // int(row["channels"]) * 1_000_000_000 // int(row["sample_rate"])
-        stamp = int(row["stamp_ns"])
-        if state is None or abs(stamp - state[0]) > reset_ms * 1e6:
-            out, drift = stamp, 0.0
+        form = (int(row["sample_rate"]), int(row["channels"]))
+        span = wide(len(row["samples"]) // form[1]) / wide(form[0]) * wide(1e9)
+        stamp = wide(int(row["stamp_ns"]))
+        if state is not None and state[3] != form:
+            state = None
+        expected = None if state is None else state[0] + state[1]
+        if expected is None or abs(stamp - expected) > far:
+            out, drift = stamp, wide(0)
         else:
-            drift = state[1] + alpha * ((stamp - state[0]) - state[1])
-            out = state[0] + int(round(max(-max_correction_ms * 1e6, min(max_correction_ms * 1e6, drift))))
-        return (out + span, drift), [{"source_id": row["source_id"], "seq": row["seq"], "stamp_ns": out}]
+            drift = (1 - wide(alpha)) * state[2] + wide(alpha) * (stamp - expected)
+            down = wide(0) if state[1] <= 1 else min(most, state[1] - 1)
+            out = expected + max(-down, min(most, drift))
+        if out < 0:
+            return None, []
+        return (out, span, drift, form), [{"source_id": row["source_id"], "seq": row["seq"], "stamp_ns": int(np.floor(out + wide(0.5)))}]
 
     return step
 
 
-def jitter_buffer(target: int = 2, reset_on_regression: bool = False, flush: bool = False) -> Step:
-    """Reorder by seq holding ``target`` frames; repeated frames go, late ones go or reset."""
+def jitter_buffer(target: int = 2, max_depth: int = 8, reset_on_regression: bool = False) -> Step:
+    """Reorder by seq holding ``target`` frames.
+
+    Repeats of a held frame or of the last one released go; frames before that
+    go too, or reset the buffer. A frame that finds ``max_depth`` held resets
+    the buffer and is lost with it.
+    """
+    if not 0 <= target < max_depth:
+        raise ValueError("the target depth must be below the greatest depth")
 
     def step(state, row):
-        held, last = (dict(state[0]), state[1]) if state else ({}, None)
+        held, last = state or ({}, None)
         seq = int(row["seq"])
-        if last is not None and seq <= last:
+        if seq in held or seq == last:
+            return state, []
+        if last is not None and seq < last:
             if not reset_on_regression:
-                return (held, last), []
+                return state, []
             held, last = {}, None
-        if seq in held:
-            return (held, last), []
-        held[seq] = row["arrival_ns"]
+        if len(held) >= max_depth:
+            return ({}, None), []
+        held = {**held, seq: row["arrival_ns"]}
         out = []
         while len(held) > target:
             last = min(held)
@@ -288,55 +164,68 @@ def jitter_buffer(target: int = 2, reset_on_regression: bool = False, flush: boo
     return step
 
 
-def vad_estimator(speech: float = 0.55, silence: float = 0.3, start_delta: float = 0.2, end_delta: float = 0.2, min_start: float = 0.35, max_end: float = 0.45, smoothing: float = 0.25, start_windows: int = 2, end_windows: int = 8, min_speech_ms: float = 120.0, window_ms: float = 32.0) -> Step:
-    """Voice start and end from a probability per window; the moving average is an output alone."""
+def vad_estimator(speech: float = 0.55, silence: float = 0.35, start_delta: float = 0.2, end_delta: float = 0.2, min_start: float = 0.35, max_end: float = 0.45, smoothing: float = 0.35, start_windows: int = 2, end_windows: int = 4, min_speech_ms: int = 120, sample_rate: int = 16000) -> Step:
+    """Voice start and end from rows (probability, start_sample, end_sample), a window each; the moving average is an output alone.
+
+    Speech lasts from the start of the window that confirms it; the window
+    that starts it may count towards its end.
+    """
+    if not 0 <= silence <= speech <= 1 or start_windows < 1 or end_windows < 1 or min_speech_ms < 0:
+        raise ValueError("estimator parameters are out of range")
+    least = int(sample_rate * min_speech_ms / 1000)
 
     def step(state, row):
-        s = dict(state) if state else {"smooth": None, "last": None, "active": False, "up": 0, "down": 0, "ms": 0.0}
-        p = float(row["probability"])
-        s["smooth"] = p if s["smooth"] is None else s["smooth"] + smoothing * (p - s["smooth"])
-        delta = 0.0 if s["last"] is None else p - s["last"]
-        s["last"] = p
-        start = end = False
-        if not s["active"]:
-            s["up"] = s["up"] + 1 if p >= speech or delta >= start_delta and p >= min_start else 0
-            if s["up"] >= start_windows:
-                s |= {"active": True, "down": 0, "ms": s["up"] * window_ms, "up": 0}
-                start = True
-        else:
-            s["ms"] += window_ms
-            s["down"] = s["down"] + 1 if p <= silence or -delta >= end_delta and p <= max_end else 0
-            if s["down"] >= end_windows and s["ms"] >= min_speech_ms:
-                s |= {"active": False, "up": 0, "down": 0}
-                end = True
-        return s, [{"source_id": row["source_id"], "seq": row["seq"], "smoothed": s["smooth"], "active": s["active"], "started": start, "ended": end}]
+        smooth, last, active, since, up, down = state or (0.0, 0.0, False, 0, 0, 0)
+        p = max(0.0, min(1.0, float(row["probability"])))
+        smooth = smoothing * p + (1 - smoothing) * smooth
+        started = ended = False
+        up = 0 if active or not (p >= speech or p >= min_start and p - last >= start_delta) else up + 1
+        if not active and up >= start_windows:
+            started = active = True
+            since, down = int(row["start_sample"]), 0
+        down = 0 if not active or not (p <= silence or p <= max_end and last - p >= end_delta) else down + 1
+        if active and down >= end_windows and int(row["end_sample"]) - since >= least:
+            ended, active, up = True, False, 0
+        made = {"source_id": row["source_id"], "seq": row["seq"], "smoothed": smooth, "active": active, "started": started, "ended": ended}
+        return (smooth, p, active, since, up, down), [made]
 
     return step
 
 
-def stream_gate(pre_roll_ms: float = 500.0, hangover_ms: float = 900.0, merge_gap_ms: float = 400.0) -> Step:
-    """Segments of keyword audio: opened by voice with what came just before, closed after the hangover; a new one soon after goes on with the old number."""
+GATED = "source_id string, seq long, segment long, opened boolean, merged boolean, closed boolean, samples array<float>"
+
+
+def stream_gate(pre_roll_ms: int = 500, hangover_ms: int = 900, merge_gap_ms: int = 400, sample_rate: int = 16000) -> Step:
+    """Segments of keyword audio from rows (active, arrival_ns, samples).
+
+    Voice opens a segment with the audio just before it. Silence passes on for
+    the hangover, is held back for the merge gap after it, and then closes the
+    segment; voice within the gap goes on with it.
+    """
+    room = int(sample_rate * pre_roll_ms / 1000)
 
     def step(state, row):
-        s = dict(state) if state else {"open": False, "segment": 0, "voice": None, "closed": None, "held": ()}
-        now = row["arrival_ns"] / 1e6
-        held = tuple(h for h in (*s["held"], (int(row["seq"]), now)) if now - h[1] <= pre_roll_ms)
-        out = []
+        is_open, segment, voice, waiting, held = state or (False, 0, None, False, np.zeros(0, np.float32))
+        x, now = np.asarray(row["samples"], np.float32), int(row["arrival_ns"])
+        opened = merged = closed = False
+        out = None
         if row["active"]:
-            s["voice"] = now
-            if not s["open"]:
-                if s["closed"] is None or now - s["closed"] > merge_gap_ms:
-                    s["segment"] += 1
-                s["open"] = True
-                out = [h[0] for h in held]
+            voice = now
+            if is_open:
+                merged, out = waiting, x
             else:
-                out = [int(row["seq"])]
-        elif s["open"]:
-            out = [int(row["seq"])]
-            if now - s["voice"] > hangover_ms:
-                s |= {"open": False, "closed": now}
-        s["held"] = () if s["open"] else held
-        return s, [{"source_id": row["source_id"], "seq": q, "segment": s["segment"]} for q in out]
+                segment, opened, out = segment + 1, True, np.concatenate([held, x])
+            is_open, waiting = True, False
+        elif is_open:
+            quiet = now - voice
+            waiting = quiet > hangover_ms * 1_000_000
+            if not waiting:
+                out = x
+            elif quiet > (hangover_ms + merge_gap_ms) * 1_000_000:
+                is_open, waiting, closed = False, False, True
+        held = np.concatenate([held, x])[-room:] if room else held
+        made = {"source_id": row["source_id"], "seq": row["seq"], "segment": segment, "opened": opened, "merged": merged, "closed": closed, "samples": out}
+        return (is_open, segment, voice, waiting, held), [made] if out is not None or closed else []
 
     return step
 
@@ -353,63 +242,139 @@ def cooldown(ms: float = 1500.0) -> Step:
     return step
 
 
-def asr_control(pre_roll_ms: float = 500.0) -> Step:
-    """Idle or streaming by start and stop events; a start sends the audio just before it."""
+DIALOGUE = "source_id string, now_ms long, session_id string, turn long, kind string, reason string, request_id long, asr string"
+
+
+def dialogue(min_active_ms: int = 3000, no_speech_ms: int = 6000, quiet_ms: int = 1200, threshold: float = 0.65, fallback_ms: int = 3500, max_active_ms: int = 30000, prefix: str = "session-", wake_max_age_ms: int = 1000, allow_zero_stamp: bool = True) -> Step:
+    """Turns from events that carry ``now_ms``; a decision (``DIALOGUE``) for each.
+
+    Events: wake (with keyword and stamp_ms, 0 for none), speech, quiet,
+    candidate (session_id, user_turn_id, request_id, probability) and tick. A
+    fresh wake opens a turn. Time passes with ticks alone: they end a turn
+    that is too long or without speech, ask the turn detector once for each
+    quiet stretch, and end a turn that stays quiet. A candidate must answer
+    the pending request.
+    """
+    if not 0 <= min_active_ms <= min(no_speech_ms, max_active_ms) or not 0 < quiet_ms <= fallback_ms or not 0 <= threshold <= 1:
+        raise ValueError("dialogue parameters are out of range")
+    start = {"session": "", "sessions": 1, "turns": 1, "requests": 1, "turn": 0, "since": None, "spoke": False, "quiet": None, "pending": 0, "checked": None}
+
+    def fresh(row, now):
+        stamp = row.get("stamp_ms")
+        if not stamp:
+            return None if allow_zero_stamp else "zero_stamp_disallowed"
+        return "future_stamp" if now < stamp else "stale_stamp" if now - stamp > wake_max_age_ms else None
+
+    def decide(s, row):
+        """(kind, reason); ``s`` is this step's own."""
+        now, event = int(row["now_ms"]), row["event"]
+
+        def end(reason):
+            s.update(turn=0, since=None, spoke=False, quiet=None, pending=0, checked=None)
+            return "ended", reason
+
+        if event == "wake":
+            if not (row.get("keyword") or "").strip():
+                return "ignored", "empty_keyword"
+            if stale := fresh(row, now):
+                return "rejected", stale
+            if s["turn"]:
+                return "ignored", "turn_active"
+            if not s["session"]:
+                s.update(session=f"{prefix}{s['sessions']}", sessions=s["sessions"] + 1)
+            s.update(turn=s["turns"], turns=s["turns"] + 1, since=now, spoke=False, quiet=None, pending=0, checked=None)
+            return "accepted", "wake"
+        if not s["turn"]:
+            return "ignored", "turn_not_active"
+        age = max(0, now - s["since"])
+        if event == "speech":
+            s.update(spoke=True, quiet=None, pending=0, checked=None)
+            return "accepted", "speech_active"
+        if event == "quiet":
+            if not s["spoke"]:
+                return "ignored", "waiting_for_speech"
+            if s["quiet"] is not None:
+                return "ignored", "quiet_continues"
+            s.update(quiet=now, pending=0, checked=None)
+            return "accepted", "quiet_started"
+        if event == "candidate":
+            if row["session_id"] != s["session"]:
+                return "ignored", "session_mismatch"
+            if int(row["user_turn_id"]) != s["turn"]:
+                return "ignored", "turn_mismatch"
+            if not s["pending"]:
+                return "ignored", "no_pending_td_request"
+            if int(row["request_id"]) != s["pending"]:
+                return "ignored", "td_request_mismatch"
+            s["pending"] = 0
+            if s["quiet"] is None:
+                return "ignored", "speech_resumed"
+            s["checked"] = s["quiet"]
+            return end("td_end") if row["probability"] >= threshold and age >= min_active_ms else ("accepted", "td_not_end")
+        if age >= max_active_ms:
+            return end("max_active_timeout")
+        if not s["spoke"]:
+            return end("no_speech_timeout") if age >= no_speech_ms else ("ignored", "waiting_for_speech")
+        if s["quiet"] is None:
+            return "ignored", "speech_active"
+        silent = now - s["quiet"]
+        if age >= min_active_ms:
+            if silent >= quiet_ms and not s["pending"] and s["checked"] != s["quiet"]:
+                s.update(pending=s["requests"], requests=s["requests"] + 1)
+                return "accepted", "turn_end_requested"
+            if silent >= fallback_ms:
+                return end("quiet_fallback")
+        return "ignored", "waiting_for_end"
 
     def step(state, row):
-        s = dict(state) if state else {"on": False, "held": ()}
-        now = row["arrival_ns"] / 1e6
-        out = []
-        if row["event"] == "start":
-            out, s = ([] if s["on"] else [h[0] for h in s["held"] if now - h[1] <= pre_roll_ms]), {"on": True, "held": ()}
-        elif row["event"] == "stop":
-            s = {"on": False, "held": ()}
-        elif s["on"]:
-            out = [int(row["seq"])]
-        else:
-            s["held"] = tuple(h for h in (*s["held"], (int(row["seq"]), now)) if now - h[1] <= pre_roll_ms)
-        return s, [{"source_id": row["source_id"], "seq": q} for q in out]
+        s = dict(state or start)
+        before = s["turn"]
+        kind, reason = decide(s, row)
+        asr = "start" if reason == "wake" else "stop" if kind == "ended" else None
+        request = s["pending"] if reason == "turn_end_requested" else None
+        return s, [{"source_id": row["source_id"], "now_ms": row["now_ms"], "session_id": s["session"], "turn": s["turn"] or before, "kind": kind, "reason": reason, "request_id": request, "asr": asr}]
 
     return step
 
 
-def dialogue(min_active_ms: int = 3000, no_speech_ms: int = 6000, quiet_ms: int = 1200, threshold: float = 0.65, fallback_ms: int = 3500, max_active_ms: int = 30000) -> Step:
-    """Turns from events (wake, speech, quiet, candidate with probability, tick) that carry ``now_ms``.
+PLAYED = "source_id string, seq long, event string, accepted boolean, message string, epoch long, paused boolean, depth long"
+
+
+def playback(max_queue: int = 8) -> Step:
+    """The bounded output queue and its control, from rows (event, epoch).
 
-    A wake opens a turn; quiet asks the turn detector once; a confident
-    candidate, long quiet, no speech at all or the greatest length close it.
+    Events: frame, done (the device took the oldest frame), stop, pause and
+    resume. A stop begins the next epoch and empties the queue; frames of
+    older epochs are refused; a full queue fails the sink for good.
     """
 
     def step(state, row):
-        s = dict(state) if state else {"turn": 0, "since": None, "spoke": None, "quiet": None, "asked": False}
-        now, event, out = int(row["now_ms"]), row["event"], []
-        say = lambda d: out.append({"source_id": row["source_id"], "now_ms": now, "turn": s["turn"], "decision": d})
-        if s["since"] is None:
-            if event == "wake":
-                s |= {"turn": s["turn"] + 1, "since": now, "spoke": None, "quiet": None, "asked": False}
-                say("start")
-            return s, out
-        if event == "speech":
-            s |= {"spoke": now, "quiet": None, "asked": False}
-        elif event == "quiet" and s["spoke"] is not None and s["quiet"] is None:
-            s["quiet"] = now
-        age = now - s["since"]
-        silent = now - s["quiet"] if s["quiet"] is not None else 0
-        if age >= max_active_ms:
-            reason = "max_active"
-        elif s["spoke"] is None and age >= no_speech_ms:
-            reason = "no_speech"
-        elif event == "candidate" and s["asked"] and row["probability"] >= threshold and age >= min_active_ms:
-            reason = "turn_end"
-        elif s["quiet"] is not None and silent >= fallback_ms and age >= min_active_ms:
-            reason = "fallback_quiet"
+        queue, epoch, paused, failed = state or ((), 0, False, False)
+        event, ok, message = row["event"], True, "ok"
+        if failed:
+            ok, message = False, "failed closed"
+        elif event == "frame":
+            if row["epoch"] < epoch:
+                ok, message = False, "stale epoch"
+            elif len(queue) >= max_queue:
+                ok, message, failed, queue = False, "queue overflow", True, ()
+            else:
+                queue = (*queue, row["seq"])
+        elif event == "done":
+            if paused or not queue:
+                ok, message = False, "paused" if paused else "empty"
+            else:
+                message, queue = f"played {queue[0]}", queue[1:]
+        elif event == "stop":
+            if epoch == 2**32 - 1:
+                ok, message, failed = False, "playback epoch overflow", True
+            else:
+                queue, epoch, paused, message = (), epoch + 1, False, "playback stopped"
+        elif event in ("pause", "resume"):
+            paused, message = event == "pause", f"playback {event}d"
         else:
-            if s["quiet"] is not None and silent >= quiet_ms and not s["asked"]:
-                s["asked"] = True
-                say("request")
-            return s, out
-        s["since"] = None
-        say(reason)
-        return s, out
+            ok, message = False, f"unsupported playback control command: {event}"
+        made = {"source_id": row["source_id"], "seq": row["seq"], "event": event, "accepted": ok, "message": message, "epoch": epoch, "paused": paused, "depth": len(queue)}
+        return (queue, epoch, paused, failed), [made]
 
     return step

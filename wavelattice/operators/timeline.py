@@ -1,68 +1,95 @@
-"""Operators over the samples of a whole stream, as window plans.
+"""Operators over the samples of a whole stream, as window plans over frames.
 
-``samples_long`` numbers every sample of a source; tumbling and sliding
-windows, delay, overlap-add, gap filling and resampling are then arithmetic on
-that number, so no plan but the numbering needs a source's order.
+A stream is (source_id, stream_id). :func:`positions` numbers sample frames;
+buffers, overlap and resampling are arithmetic on those numbers and on slices
+of whole arrays. No plan has a row for each sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import accepted
 
+STREAM = ("source_id", "stream_id")
+
+
+def _count() -> Column:
+    return F.expr("size(samples) div channels")
+
 
 def positions(frames: DataFrame) -> DataFrame:
-    """``first``: number of sample frames before each frame in its source."""
-    before = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    count = (F.size("samples") / F.col("channels")).cast("long")
-    return frames.withColumn("first", F.coalesce(F.sum(count).over(before), F.lit(0)))
+    """``first``: number of sample frames before each frame in its stream."""
+    before = Window.partitionBy(*STREAM).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return frames.withColumn("first", F.coalesce(F.sum(_count()).over(before), F.lit(0)))
+
+
+_HEAD = ("stamp_ns", "arrival_ns", "generation", "sample_rate", "channels")
 
 
-def samples_long(frames: DataFrame) -> DataFrame:
-    """(source_id, seq, at, v) of mono frames; ``at`` counts on over the source."""
-    return positions(frames).select("source_id", "seq", "first", F.posexplode("samples").alias("i", "v")).select("source_id", "seq", (F.col("first") + F.col("i")).alias("at"), "v")
+def _chunks(frames: DataFrame, size: int, hop: int) -> DataFrame:
+    """Chunk k holds the sample frames from k * hop on; each has the header of the frame that its first sample comes from."""
+    if size <= 0 or not 0 < hop <= size:
+        raise ValueError("chunk size and hop must be above 0, the hop not above the size")
+    rows = positions(frames).withColumn("stop", F.col("first") + _count())
+    low, high = F.greatest(F.expr(f"(first - {size} + {hop}) div {hop}"), F.lit(0)), F.expr(f"(stop - 1) div {hop}")
+    low = F.when(F.col("first") >= size, low).otherwise(F.lit(0))
+    rows = rows.filter(low <= high).withColumn("chunk", F.explode(F.sequence(low.cast("long"), high)))
+    start = F.greatest(F.col("chunk") * hop, F.col("first"))
+    n = F.least(F.col("chunk") * hop + size, F.col("stop")) - start
+    piece = F.slice("samples", ((start - F.col("first")) * F.col("channels") + 1).cast("int"), (n * F.col("channels")).cast("int"))
+    parts = rows.filter(n > 0).select(*STREAM, "chunk", F.struct(start.alias("start"), *_HEAD, piece.alias("piece")).alias("part"))
+    whole = parts.groupBy(*STREAM, "chunk").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    head = F.col("parts")[0]
+    out = whole.select(*STREAM, F.col("chunk").alias("seq"), *(head[c].alias(c) for c in _HEAD), F.flatten("parts.piece").alias("samples"))
+    return out.filter(F.size("samples") == size * F.col("channels"))
 
 
-def _packed(long: DataFrame, key: str) -> DataFrame:
-    rows = long.groupBy("source_id", key).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("p"))
-    return rows.select("source_id", F.col(key).cast("long").alias("seq"), F.col("p.v").alias("samples"), F.lit(1).alias("channels"))
+def _one_format(frames: DataFrame) -> DataFrame:
+    """Frames of the format that their stream begins with."""
+    form = F.struct("sample_rate", "channels")
+    begins = F.first(form).over(Window.partitionBy(*STREAM).orderBy("seq"))
+    return frames.withColumn("__form", begins).filter(form == F.col("__form")).drop("__form")
 
 
 def frame_buffer(frames: DataFrame, size: int = 512) -> DataFrame:
-    """Tumbling chunks by sample count; an incomplete rest is not emitted."""
-    long = samples_long(accepted(frames, ranged=False)).withColumn("chunk", F.floor(F.col("at") / size))
-    return _packed(long, "chunk").filter(F.size("samples") == size)
+    """Tumbling chunks by sample count; an incomplete rest is not emitted. ``seq`` counts chunks, generation and stamps are the first sample's."""
+    return _chunks(_one_format(accepted(frames, ranged=False)), size, size)
 
 
 def chunk_overlap(frames: DataFrame, size: int = 512, hop: int = 256) -> DataFrame:
     """Sliding chunks by sample count."""
-    long = samples_long(accepted(frames))
-    low = F.greatest(F.ceil((F.col("at") - size + 1) / hop), F.lit(0))
-    long = long.withColumn("chunk", F.explode(F.sequence(low.cast("long"), F.floor(F.col("at") / hop))))
-    return _packed(long, "chunk").filter(F.size("samples") == size)
+    return _chunks(_one_format(accepted(frames)), size, hop)
 
 
 def overlap_add(chunks: DataFrame, size: int = 512, hop: int = 256, kind: str = "hann") -> DataFrame:
-    """Weighted synthesis, one hop for each chunk; the last size - hop samples stay inside."""
-    i = F.col("i")
-    weight = F.lit(1.0) if kind == "rectangular" else 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * (i + 0.5) / size)
-    long = accepted(chunks).filter(F.size("samples") == size).select("source_id", "seq", F.posexplode("samples").alias("i", "v"))
-    parts = long.select("source_id", (F.col("seq") * hop + i).alias("at"), weight.alias("w"), (F.col("v").cast("double") * weight).alias("x"))
-    summed = parts.groupBy("source_id", "at").agg(F.round(F.sum("x") / F.sum("w"), 7).cast("float").alias("v"))
-    last = chunks.groupBy("source_id").agg(F.max("seq").alias("last"))
-    out = summed.join(last, "source_id").withColumn("hop", F.floor(F.col("at") / hop)).filter("hop <= last")
-    return _packed(out, "hop")
-
-
-def delay(frames: DataFrame, samples: int) -> DataFrame:
-    """A line of ``samples`` zeros before the stream; mono."""
-    ok = accepted(frames)
-    long = samples_long(ok)
-    order = Window.partitionBy("source_id").orderBy("at")
-    late = long.withColumn("v", F.lag("v", samples, 0.0).over(order))
-    return _packed(late, "seq")
+    """Weighted synthesis, one hop for each chunk; the last size - hop sample frames stay inside.
+
+    Repeated chunks go; a gap in seq starts anew. Stamps go on from the first
+    chunk's by whole hops.
+    """
+    if size <= 0 or not 0 < hop <= size or kind not in ("hann", "rectangular"):
+        raise ValueError("overlap parameters are out of range")
+    rows = accepted(chunks).filter(F.size("samples") == size * F.col("channels")).dropDuplicates([*STREAM, "seq"])
+    in_order = Window.partitionBy(*STREAM).orderBy("seq")
+    rows = rows.withColumn("run", F.col("seq") - F.row_number().over(in_order))
+    run = Window.partitionBy(*STREAM, "run").orderBy("seq")
+    back = -(-size // hop) - 1
+    near = F.collect_list(F.struct("seq", "samples")).over(run.rowsBetween(-back, 0))
+    rows = rows.withColumns({"near": near, "begins": F.first("stamp_ns").over(run), "at": F.row_number().over(run) - 1})
+    place = lambda x, i: (F.col("seq") - x["seq"]) * hop + F.floor(i / F.col("channels"))
+    weight = lambda x, i: F.lit(1.0) if kind == "rectangular" else 0.5 - 0.5 * F.cos(2 * 3.141592653589793 * (place(x, i) + 0.5) / size)
+    held = lambda i: F.filter("near", lambda x: place(x, i) < size)
+    value = lambda x, i: F.get(x["samples"], (place(x, i) * F.col("channels") + i % F.col("channels")).cast("int")).cast("double")
+    add = lambda a, y: a + y
+    total = lambda i: F.aggregate(F.transform(held(i), lambda x: value(x, i) * weight(x, i)), F.lit(0.0), add)
+    share = lambda i: F.aggregate(F.transform(held(i), lambda x: weight(x, i)), F.lit(0.0), add)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(hop) * F.col("channels") - 1), lambda i: (total(i) / share(i)).cast("float"))
+    stamp = F.col("begins") + F.col("at") * F.floor(F.lit(hop * 1e9) / F.col("sample_rate") + 0.5).cast("long")
+    # ``near`` is named twice: what is named once could be computed anew for every sample
+    out = rows.filter(F.size("near") > 0).withColumn("samples", samples)
+    return out.withColumn("stamp_ns", stamp).drop("near", "begins", "at", "run")
 
 
 def fade(frames: DataFrame, mode: str = "fade_in", duration: int = 16000, start: int = 0) -> DataFrame:
@@ -76,22 +103,36 @@ def fade(frames: DataFrame, mode: str = "fade_in", duration: int = 16000, start:
 
 
 def resample_linear(frames: DataFrame, target_rate: int = 16000) -> DataFrame:
-    """Linear interpolation at positions k * source rate / target rate; mono, whole stream, exact integer phase.
+    """Linear interpolation at positions k * source rate / target rate of the whole stream, exact integer phase.
 
-    Output sample k lies between input samples k * rate div target and the
-    next one; the last input frame waits for its successor. Output goes to the
-    frame of its left neighbour.
+    A frame gives the outputs that lie after the last sample of the frame
+    before and not after its own last one; a frame without any gives no row.
     """
-    long = samples_long(accepted(frames)).join(frames.select("source_id", "sample_rate").distinct(), "source_id")
-    order = Window.partitionBy("source_id").orderBy("at")
-    pairs = long.withColumn("after", F.lead("v").over(order)).filter("after IS NOT NULL")
-    low = F.expr(f"(at * {target_rate} + sample_rate - 1) div sample_rate")
-    high = F.expr(f"((at + 1) * {target_rate} + sample_rate - 1) div sample_rate - 1")
-    k = pairs.filter(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
-    share = (F.col("k") * F.col("sample_rate") - F.col("at") * target_rate) / F.lit(float(target_rate))
-    v = (F.col("v").cast("double") + (F.col("after").cast("double") - F.col("v").cast("double")) * share).cast("float")
-    out = k.select("source_id", "seq", F.col("k").alias("at"), v.alias("v"))
-    return _packed(out, "seq")
+    if target_rate <= 0:
+        raise ValueError("the target rate must be above 0")
+    in_order = Window.partitionBy(*STREAM).orderBy("seq")
+    rows = positions(_one_format(accepted(frames)))
+    rows = rows.withColumn("__tail", F.lag(F.expr("slice(samples, size(samples) - channels + 1, channels)")).over(in_order))
+    rows = rows.withColumns({
+        "__held": F.concat(F.coalesce("__tail", F.expr("slice(samples, 1, 0)")), "samples"),
+        "__start": F.when(F.col("__tail").isNull(), F.col("first")).otherwise(F.col("first") - 1),
+        "__last": F.col("first") + _count() - 1,
+    })
+    low = F.expr(f"if(first = 0, 0, (first - 1) * {target_rate} div sample_rate + 1)")
+    high = F.expr(f"__last * {target_rate} div sample_rate")
+    rows = rows.withColumns({"__low": low, "__high": high}).filter("__low <= __high")
+    at = lambda i: F.col("__low") + F.floor(i / F.col("channels"))
+    source = lambda i: F.floor(at(i) * F.col("sample_rate") / target_rate)
+    value = lambda index, i: F.get("__held", ((index - F.col("__start")) * F.col("channels") + i % F.col("channels")).cast("int")).cast("double")
+
+    def one(i: Column) -> Column:
+        share = (at(i) * F.col("sample_rate") - source(i) * target_rate) / F.lit(float(target_rate))
+        return ((1 - share) * value(source(i), i) + share * value(F.least(source(i) + 1, F.col("__last")), i)).cast("float")
+
+    n = (F.col("__high") - F.col("__low") + 1) * F.col("channels")
+    samples = F.when(F.size("__held") > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one))
+    out = rows.withColumn("samples", samples).withColumn("sample_rate", F.lit(target_rate))
+    return out.drop("first", "__tail", "__held", "__start", "__last", "__low", "__high")
 
 
 def packet_loss_concealment(frames: DataFrame, max_gap: int = 3, attenuation: float = 0.7) -> DataFrame:
@@ -101,41 +142,66 @@ def packet_loss_concealment(frames: DataFrame, max_gap: int = 3, attenuation: fl
     """
     if max_gap < 0 or not 0 < attenuation <= 1:
         raise ValueError("concealment parameters are out of range")
-    arrival = Window.partitionBy("source_id").orderBy("arrival_ns")
+    arrival = Window.partitionBy(*STREAM).orderBy("arrival_ns")
     seen = F.max("seq").over(arrival.rowsBetween(Window.unboundedPreceding, -1))
     rows = accepted(frames).withColumn("seen", seen).filter("seen IS NULL OR seq > seen")
-    order = Window.partitionBy("source_id").orderBy("seq")
+    order = Window.partitionBy(*STREAM).orderBy("seq")
     rows = rows.withColumns({"before": F.lag("samples").over(order), "gap": F.coalesce(F.col("seq") - F.col("seen") - 1, F.lit(0))})
     fill = rows.filter((F.col("gap") > 0) & (F.col("gap") <= max_gap)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("gap"))))
-    fill = fill.select("source_id", (F.col("seen") + F.col("k")).alias("seq"), F.transform("before", lambda x: (x.cast("double") * F.pow(F.lit(attenuation), F.col("k"))).cast("float")).alias("samples"), F.lit(True).alias("concealed"))
-    return rows.select("source_id", "seq", "samples", F.lit(False).alias("concealed")).unionByName(fill)
+    fill = fill.select(*STREAM, (F.col("seen") + F.col("k")).alias("seq"), F.transform("before", lambda x: (x.cast("double") * F.pow(F.lit(attenuation), F.col("k"))).cast("float")).alias("samples"), F.lit(True).alias("concealed"))
+    return rows.select(*STREAM, "seq", "samples", F.lit(False).alias("concealed")).unionByName(fill)
 
 
-def range_query(frames: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    """The samples of [start_ns, end_ns) of each source, or why there are none.
+def range_pieces(frames: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """The parts of [start_ns, end_ns) that each frame holds, in order of ``seq``: a row a frame.
 
-    Frames that overlap a retained one are not stored; the range needs full
-    and continuous cover; both ends snap up to whole samples, which
-    ``start_ns`` and ``stop_ns`` give.
+    Frames that overlap a retained one are not stored; both ends snap up to
+    whole samples. ``stop_ns`` is the piece's end, ``next_ns`` the stamp of
+    the frame after it (null: none within the range).
     """
     if start_ns >= end_ns:
         raise ValueError("range is empty")
     span = F.expr("size(samples) div channels * 1000000000 div sample_rate")
     rows = accepted(frames).withColumn("end_ns", F.col("stamp_ns") + span)
-    order = Window.partitionBy("source_id").orderBy("stamp_ns", "seq")
+    order = Window.partitionBy(*STREAM).orderBy("stamp_ns", "seq")
     reach = F.max("end_ns").over(order.rowsBetween(Window.unboundedPreceding, -1))
     kept = rows.withColumn("reach", reach).filter("reach IS NULL OR stamp_ns >= reach")
     hit = kept.filter((F.col("end_ns") > start_ns) & (F.col("stamp_ns") < end_ns))
     low = F.expr(f"greatest(0, ({start_ns} - stamp_ns) * sample_rate + 999999999) div 1000000000")
     high = F.expr(f"least(size(samples) div channels, (({end_ns} - stamp_ns) * sample_rate + 999999999) div 1000000000)")
-    cut = hit.withColumns({"lo": low, "hi": high, "next": F.lead("stamp_ns").over(order)})
+    cut = hit.withColumns({"lo": low, "hi": high, "next_ns": F.lead("stamp_ns").over(order)}).filter("hi > lo")
     piece = F.slice("samples", (F.col("lo") * F.col("channels") + 1).cast("int"), ((F.col("hi") - F.col("lo")) * F.col("channels")).cast("int"))
-    found = cut.filter("hi > lo").withColumn("piece", piece)
-    gap = F.max((F.col("next").isNotNull() & (F.col("next") != F.col("end_ns"))).cast("int"))
-    joined = found.groupBy("source_id").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("stamp_ns", "piece"))), lambda x: x["piece"])).alias("samples"),
-        F.min("stamp_ns").alias("low"), F.max("end_ns").alias("high"), gap.alias("gap"), F.min("sample_rate").alias("sample_rate"), F.min("channels").alias("channels"),
-        F.min(F.expr("stamp_ns + lo * 1000000000 div sample_rate")).alias("start_ns"), F.max(F.expr("stamp_ns + hi * 1000000000 div sample_rate")).alias("stop_ns"),
+    return cut.select(
+        *STREAM, "seq", "sample_rate", "channels", F.col("stamp_ns").alias("low"), F.col("end_ns").alias("high"), "next_ns",
+        F.expr("stamp_ns + lo * 1000000000 div sample_rate").alias("start_ns"), F.expr("stamp_ns + hi * 1000000000 div sample_rate").alias("stop_ns"), piece.alias("samples"),
+    )
+
+
+def range_status(pieces: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """source_id, stream_id, status, start_ns, stop_ns, sample_rate, channels, n_samples of each stream's pieces: full and continuous cover is ok."""
+    gap = F.max((F.col("next_ns").isNotNull() & (F.col("next_ns") != F.col("high"))).cast("int"))
+    whole = pieces.groupBy(*STREAM).agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), gap.alias("gap"), F.min("sample_rate").alias("sample_rate"), F.min("channels").alias("channels"),
+        F.min("start_ns").alias("start_ns"), F.max("stop_ns").alias("stop_ns"), F.sum(F.size("samples")).alias("n_samples"),
     )
     status = F.when((F.col("low") > start_ns) | (F.col("high") < end_ns), "range_outside_window").when(F.col("gap") == 1, "range_not_continuous").otherwise("ok")
-    return joined.select("source_id", status.alias("status"), F.when(status == "ok", F.col("samples")).alias("samples"), "sample_rate", "channels", "start_ns", "stop_ns")
+    return whole.select(*STREAM, status.alias("status"), "start_ns", "stop_ns", "sample_rate", "channels", "n_samples")
+
+
+#: Samples that one row may hold; longer ranges are for :func:`range_pieces`.
+MOST_SAMPLES = 1 << 26
+
+
+def range_query(frames: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """The samples of [start_ns, end_ns) of each stream in one row, or why there are none.
+
+    A range of more than ``MOST_SAMPLES`` samples is ``range_too_long``.
+    """
+    pieces = range_pieces(frames, start_ns, end_ns)
+    status = range_status(pieces, start_ns, end_ns)
+    short = F.col("n_samples") <= MOST_SAMPLES
+    status = status.withColumn("status", F.when((F.col("status") == "ok") & ~short, "range_too_long").otherwise(F.col("status")))
+    good = status.filter("status = 'ok'").select(*STREAM)
+    parts = pieces.join(good, list(STREAM), "left_semi").groupBy(*STREAM).agg(F.sort_array(F.collect_list(F.struct("low", "samples"))).alias("parts"))
+    joined = parts.select(*STREAM, F.flatten("parts.samples").alias("samples"))
+    return status.join(joined, list(STREAM), "left").select("source_id", "stream_id", "status", "samples", "sample_rate", "channels", "start_ns", "stop_ns")

@@ -84,18 +84,20 @@ def publish(found: DataFrame, uri: str) -> DataFrame:
     an error and is left alone; one with equal content counts as published.
     """
 
-    def put(system, path: str, content: bytes) -> None:
+    def put(system, path: str, content: bytes) -> bool:
+        """Whether the file is new."""
         from pyarrow import fs
 
         if system.get_file_info(path).type != fs.FileType.NotFound:
             with system.open_input_stream(path) as f:
                 if f.read() != content:
                     raise FileExistsError(path)
-            return
+            return False
         part = f"{path}.{hashlib.sha256(content).hexdigest()[:16]}.part"
         with system.open_output_stream(part) as f:
             f.write(content)
         system.move(part, path)
+        return True
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -104,9 +106,14 @@ def publish(found: DataFrame, uri: str) -> DataFrame:
         system.create_dir(folder, recursive=True)
         for batch in batches:
             for name, wav, about in zip(batch["clip_id"], batch["wav"], batch["metadata"]):
-                put(system, f"{folder}/{name}.wav", bytes(wav))
-                if about is not None:
-                    put(system, f"{folder}/{name}.wav.metadata.json", about.encode())
+                new = put(system, f"{folder}/{name}.wav", bytes(wav))
+                try:
+                    if about is not None:
+                        put(system, f"{folder}/{name}.wav.metadata.json", about.encode())
+                except Exception:
+                    if new:  # no clip without its metadata
+                        system.delete_file(f"{folder}/{name}.wav")
+                    raise
             yield pd.DataFrame({"clip_id": batch["clip_id"], "uri": [f"{uri}/{n}.wav" for n in batch["clip_id"]], "content_sha256": batch["content_sha256"]})
 
     return found.filter("status = 'ok'").mapInPandas(run, "clip_id string, uri string, content_sha256 string")

@@ -1,67 +1,253 @@
-"""PCM and WAV at the edges: headerless files in, WAV bytes and raw files out."""
+"""PCM and WAV at the edges, and frames as bytes.
+
+``WIRE`` is the frame record as it travels: the header of ``model.FRAME`` with
+encoding, bit depth, layout and bytes. :func:`from_wire` admits frames of the
+expected identity and format alone and :func:`refused` says why others aren't;
+:func:`to_wire` goes back. Files are read in ranges and written stream by
+stream in order, never a stream in one row.
+"""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import FRAME
+from ..operators.stateful import arrow_schema
+
+WIRE = "source_id string, stream_id string, seq long, generation long, stamp_ns long, arrival_ns long, sample_rate int, channels int, encoding string, bit_depth int, layout string, data binary"
+#: encoding: (numpy type, bits, what a sample is divided by).
+ENCODINGS = {"PCM16LE": ("<i2", 16, 32768.0), "PCM32LE": ("<i4", 32, 2147483648.0), "FLOAT32LE": ("<f4", 32, 1.0)}
+LAYOUTS = ("interleaved", "planar")
+_STREAM = ["source_id", "stream_id"]
+
 
-#: encoding: (numpy type, scale to [-1, 1]).
-ENCODINGS = {"PCM16LE": ("<i2", 32768.0), "PCM32LE": ("<i4", 2147483648.0), "FLOAT32LE": ("<f4", 1.0)}
+def _need(ok: bool, message: str) -> None:
+    if not ok:
+        raise ValueError(message)
 
 
-def decode(data: bytes, encoding: str) -> np.ndarray:
-    kind, scale = ENCODINGS[encoding]
-    if len(data) % np.dtype(kind).itemsize:
-        raise ValueError("bytes are not whole samples")
-    return (np.frombuffer(data, kind) / scale).astype(np.float32)
+def decode(data: bytes, encoding: str, layout: str = "interleaved", channels: int = 1) -> np.ndarray:
+    kind, bits, scale = ENCODINGS[encoding]
+    if len(data) % (bits // 8 * channels):
+        raise ValueError("bytes are not whole sample frames")
+    x = (np.frombuffer(data, kind) / scale).astype(np.float32)
+    return x if layout == "interleaved" else x.reshape(channels, -1).T.ravel()
+
+
+def encode(samples, encoding: str, layout: str = "interleaved", channels: int = 1) -> bytes:
+    """Negative samples times the full scale, others times one less, half away from zero; floats as they are."""
+    kind, bits, scale = ENCODINGS[encoding]
+    x = np.asarray(samples, np.float64)
+    if layout == "planar":
+        x = x.reshape(-1, channels).T.ravel()
+    if encoding == "FLOAT32LE":
+        return x.astype(kind).tobytes()
+    scaled = x * np.where(x < 0, scale, scale - 1)
+    whole = np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)
+    return np.clip(whole, -scale, scale - 1).astype(kind).tobytes()
 
 
-def read_pcm(spark: SparkSession, path: str, encoding: str = "PCM16LE", rate: int = 16000, channels: int = 1, chunk: int = 512) -> DataFrame:
-    """Frames of ``chunk`` sample frames of headerless files; stamps go on by frames / rate. A file that doesn't align gives none."""
+def _fault(expected: dict) -> Column:
+    """Why a wire frame isn't admitted; null if it is."""
+    width = F.when(F.col("bit_depth") > 0, F.col("bit_depth") / 8 * F.col("channels"))
+    bits = F.create_map(*(x for name, (_, b, _) in ENCODINGS.items() for x in (F.lit(name), F.lit(b))))
+    why = F.when((F.coalesce("source_id", F.lit("")) == "") | (F.coalesce("stream_id", F.lit("")) == ""), "identity is missing")
+    for name, value in expected.items():
+        why = why.when(~F.col(name).eqNullSafe(F.lit(value)), f"{name} differs")
+    why = why.when(~F.col("encoding").isin(*ENCODINGS) | (bits[F.col("encoding")] != F.col("bit_depth")) | ~F.col("layout").isin(*LAYOUTS) | (F.col("channels") < 1) | (F.col("sample_rate") < 1), "format is not known")
+    return why.when(F.coalesce(F.octet_length("data"), F.lit(0)) == 0, "empty").when(F.octet_length("data") % width != 0, "not frame aligned")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = np.dtype(ENCODINGS[encoding][0]).itemsize * channels
+
+def refused(wire: DataFrame, **expected) -> DataFrame:
+    return wire.withColumn("reason", _fault(expected)).filter("reason IS NOT NULL").select(*_STREAM, "seq", "reason")
+
+
+def from_wire(wire: DataFrame, **expected) -> DataFrame:
+    """Frames of ``FRAME``. ``expected``: columns and the values that frames must have, such as stream_id or sample_rate."""
+    names = [c.split()[0] for c in FRAME.split(", ")]
+    kinds = arrow_schema(FRAME)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                if not data or len(data) % width:
-                    continue
-                x, step = decode(data, encoding), chunk * channels
-                rows = [(name, "pcm", k, 0, k * chunk * 10**9 // rate, k * chunk * 10**9 // rate, rate, channels, x[at : at + step]) for k, at in enumerate(range(0, len(x), step))]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAME.split(", ")])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("data", "encoding", "layout", "channels")))
+            samples = pa.array([decode(*row) for row in rows], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([samples if c == "samples" else batch.column(c) for c in names], schema=kinds)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, FRAME)
+    return wire.filter(_fault(expected).isNull()).select(*(c.split()[0] for c in WIRE.split(", "))).mapInArrow(run, FRAME)
 
 
-def wav_bytes(samples, rate: int, channels: int = 1) -> bytes:
-    """RIFF WAV of 16-bit PCM; negative samples times 32768, others times 32767, half away from zero."""
-    x = np.asarray(samples, np.float64)
-    scaled = x * np.where(x < 0, 32768.0, 32767.0)
-    pcm = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype("<i2").tobytes()
-    if len(pcm) + 36 >= 1 << 32:
-        raise ValueError("a WAV file holds less than 4 GiB")
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16, b"data", len(pcm))
-    return head + pcm
+def to_wire(frames: DataFrame, encoding: str = "FLOAT32LE", layout: str = "interleaved") -> DataFrame:
+    _need(encoding in ENCODINGS and layout in LAYOUTS, "format is not known")
+    kinds = arrow_schema(WIRE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            own = {"encoding": pa.array([encoding] * n, pa.string()), "bit_depth": pa.array([ENCODINGS[encoding][1]] * n, pa.int32()), "layout": pa.array([layout] * n, pa.string())}
+            own["data"] = pa.array([encode(x, encoding, layout, c) for x, c in zip(batch.column("samples").to_pylist(), batch.column("channels").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else batch.column(f.name) for f in kinds], schema=kinds)
 
+    return frames.select(*(c.split()[0] for c in FRAME.split(", "))).mapInArrow(run, WIRE)
 
-def record_wav(frames: DataFrame) -> DataFrame:
-    """(source_id, wav, sha256): each source's frames in order of seq as one WAV; a format change drops the frame."""
-    first = frames.groupBy("source_id").agg(F.min_by(F.struct("sample_rate", "channels"), "seq").alias("f"))
-    kept = frames.join(first, "source_id").filter("sample_rate = f.sample_rate AND channels = f.channels")
-    whole = kept.groupBy("source_id", "f").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "samples"))), lambda x: x["samples"])).alias("samples"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"source_id": b["source_id"], "wav": [wav_bytes(s, r, c) for s, r, c in zip(b["samples"], b["rate"], b["channels"])]})
+def read_pcm(spark: SparkSession, path: str, encoding: str = "PCM16LE", rate: int = 16000, channels: int = 1, chunk: int = 512, stream: str = "pcm", loops: int = 1, split_frames: int = 1 << 20) -> DataFrame:
+    """Wire frames of ``chunk`` sample frames of headerless files; stamps go on by frames / rate, over ``loops`` rounds.
 
-    made = whole.select("source_id", F.col("f.sample_rate").alias("rate"), F.col("f.channels").alias("channels"), "samples").mapInPandas(run, "source_id string, wav binary")
-    return made.withColumn("sha256", F.sha2("wav", 256))
+    Tasks read ranges, not files. An empty file, or one that isn't whole
+    sample frames, is an error. The source of a frame is its file's path.
+    """
+    _need(encoding in ENCODINGS and rate > 0 and channels > 0 and chunk > 0 and loops > 0, "source parameters are out of range")
+    bits = ENCODINGS[encoding][1]
+    width, step = bits // 8 * channels, max(1, split_frames // chunk) * chunk
+    files = spark.read.format("binaryFile").load(path).select("path", (F.col("length") / width).alias("n"))
+    whole = F.when((F.col("n") > 0) & (F.floor("n") == F.col("n")), F.col("n").cast("long")).otherwise(F.raise_error(F.concat(F.lit("not whole sample frames: "), F.col("path"))))
+    ranges = files.withColumn("n", whole).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    ranges = ranges.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(loops - 1)))).repartition(F.col("path"), F.col("at"), F.col("turn"))
+    kinds = arrow_schema(WIRE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, name = fs.FileSystem.from_uri(row["path"])
+                with system.open_input_file(name) as f:
+                    f.seek(row["at"] * width)
+                    data = f.read(min(step, row["n"] - row["at"]) * width)
+                out = []
+                for k in range(0, len(data), chunk * width):
+                    at = row["turn"] * row["n"] + row["at"] + k // width
+                    seq = row["turn"] * -(-row["n"] // chunk) + row["at"] // chunk + k // (chunk * width)
+                    stamp = at * 10**9 // rate
+                    out.append(dict(zip(kinds.names, (row["path"], stream, seq, 0, stamp, stamp, rate, channels, encoding, bits, "interleaved", data[k : k + chunk * width]))))
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return ranges.mapInArrow(run, WIRE)
+
+
+def wav_header(n_bytes: int, rate: int, channels: int, encoding: str = "PCM16LE") -> bytes:
+    bits, tag = ENCODINGS[encoding][1], 3 if encoding == "FLOAT32LE" else 1
+    if n_bytes + 36 >= 1 << 32:
+        raise ValueError("a WAV file holds less than 4 GiB")
+    width = bits // 8 * channels
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n_bytes, b"WAVE", b"fmt ", 16, tag, channels, rate, rate * width, width, bits, b"data", n_bytes)
+
+
+def wav_bytes(samples, rate: int, channels: int = 1, encoding: str = "PCM16LE") -> bytes:
+    data = encode(samples, encoding, "interleaved", channels)
+    return wav_header(len(data), rate, channels, encoding) + data
+
+
+def read_wav(data: bytes) -> tuple[np.ndarray, int, int]:
+    """(samples, rate, channels) of a WAV file of the encodings known here."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    at, form = 12, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"fmt ":
+            form = struct.unpack_from("<HHIIHH", data, at + 8)
+        elif name == b"data" and form:
+            encoding = {(1, 16): "PCM16LE", (1, 32): "PCM32LE", (3, 32): "FLOAT32LE"}[form[0], form[5]]
+            return decode(data[at + 8 : at + 8 + size], encoding), form[2], form[1]
+        at += 8 + size + size % 2
+    raise ValueError("a chunk is missing")
+
+
+def _in_order(frames: DataFrame) -> DataFrame:
+    """Frames of the format that their stream begins with, by stream and seq, with the stream's total of samples."""
+    form = F.struct("sample_rate", "channels")
+    begins = frames.groupBy(*_STREAM).agg(F.min_by(form, "seq").alias("form"))
+    kept = frames.join(begins, _STREAM).filter(form == F.col("form")).drop("form")
+    totals = kept.groupBy(*_STREAM).agg(F.sum(F.size("samples")).alias("total"))
+    return kept.join(totals, _STREAM).repartition(*_STREAM).sortWithinPartitions(*_STREAM, "seq")
+
+
+def write_files(frames: DataFrame, folder: str, kind: str = "wav", encoding: str = "PCM16LE", overwrite: bool = False) -> DataFrame:
+    """A ``kind`` (wav or pcm) file for each stream below ``folder``, a URI all executors reach: (source_id, stream_id, uri, n_bytes, sha256).
+
+    A task appends frame after frame; a file appears whole by a rename. A
+    frame whose format differs from its stream's first one is left out. An
+    existing file is an error unless ``overwrite``.
+    """
+    import hashlib
+
+    _need(kind in ("wav", "pcm") and encoding in ENCODINGS, "file kind or encoding is not known")
+    schema = "source_id string, stream_id string, uri string, n_bytes long, sha256 string"
+    kinds = arrow_schema(schema)
+    safe = lambda s: re.sub(r"[^A-Za-z0-9-]", lambda m: f"_{ord(m.group()):x}_", s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        at, sink, done = None, None, []
+
+        def put(data: bytes) -> None:
+            sink.write(data)
+            sha.update(data)
+            state["n"] += len(data)
+
+        def close() -> None:
+            sink.close()
+            system.move(state["part"], state["path"])
+            done.append({"source_id": at[0], "stream_id": at[1], "uri": f"{folder}/{state['name']}", "n_bytes": state["n"], "sha256": sha.hexdigest()})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (now := (row["source_id"], row["stream_id"])) != at:
+                    if at is not None:
+                        close()
+                    at, sha = now, hashlib.sha256()
+                    name = f"{safe(now[0])}__{safe(now[1])}.{kind}"
+                    state = {"name": name, "path": f"{root}/{name}", "part": f"{root}/.{name}.{np.random.default_rng().integers(1 << 62)}.part", "n": 0}
+                    if not overwrite and system.get_file_info(state["path"]).type != fs.FileType.NotFound:
+                        raise FileExistsError(state["path"])
+                    sink = system.open_output_stream(state["part"])
+                    if kind == "wav":
+                        put(wav_header(row["total"] * ENCODINGS[encoding][1] // 8, row["sample_rate"], row["channels"], encoding))
+                put(encode(row["samples"], encoding, "interleaved", row["channels"]))
+        if at is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=kinds)
+
+    return _in_order(frames).mapInArrow(run, schema)
+
+
+def record_wav(frames: DataFrame, encoding: str = "PCM16LE") -> DataFrame:
+    """(source_id, stream_id, wav, sha256): streams short enough for a row (below 2 GiB) as WAV bytes; :func:`write_files` for others."""
+    schema = "source_id string, stream_id string, wav binary"
+    kinds = arrow_schema(schema)
+    most = (1 << 31) // (ENCODINGS[encoding][1] // 8) - 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"source_id": at[0], "stream_id": at[1], "wav": b"".join(parts)}], schema=kinds)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (now := (row["source_id"], row["stream_id"])) != at:
+                    if parts:
+                        yield made()
+                    if row["total"] > most:
+                        raise ValueError(f"stream {now} is too long for a row")
+                    at, parts = now, [wav_header(row["total"] * ENCODINGS[encoding][1] // 8, row["sample_rate"], row["channels"], encoding)]
+                parts.append(encode(row["samples"], encoding, "interleaved", row["channels"]))
+        if parts:
+            yield made()
+
+    return _in_order(frames).mapInArrow(run, schema).withColumn("sha256", F.sha2("wav", 256))
 
 
 def write_frames(frames: DataFrame, path: str, overwrite: bool = False) -> None:
