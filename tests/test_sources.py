@@ -121,3 +121,58 @@ def test_commands_take_what_follows(spark):
     texts = ["start", "\tSTOP now please ", "status x", "mode Dictation", "mode a b", "mode", "go", "", None, "\u3000start"]
     rows = commands.route(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert [(r.action, r.mode) for r in rows] == [("start", None), ("stop", None), ("status", None), ("mode", "dictation"), (None, None), (None, None), (None, None), (None, None), (None, None), ("start", None)]
+
+
+def test_a_growing_file_is_a_stream(spark, tmp_path):
+    from wavelattice.sources.live import PcmFrames, drain
+
+    spark.dataSource.register(PcmFrames)
+    path = tmp_path / "x.pcm"
+    values = [k * 100 for k in range(10)]
+    path.write_bytes(struct.pack("<5h", *values[:5]))
+
+    def go():
+        wire = spark.readStream.format("pcm_frames").options(path=str(path), chunk=2, most=2).load()
+        query = drain(pw.gain(pcm.from_wire(wire), 2.0), f"file://{tmp_path}/out", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        files = sorted((tmp_path / "out").glob("batch-*/*.pcm"))
+        return [v for f in files for v in np.frombuffer(f.read_bytes(), "<f4").tolist()]
+
+    assert go() == [v / 32768 * 2 for v in values[:4]]  # the fifth sample waits for its chunk
+    path.write_bytes(struct.pack("<10h", *values))
+    assert go() == [v / 32768 * 2 for v in values]
+    rows = spark.read.format("pcm_frames").options(path=str(path), chunk=4).load().orderBy("seq").collect()
+    assert [(r.seq, r.stamp_ns, len(r.data)) for r in rows] == [(0, 0, 8), (1, 250_000, 8), (2, 500_000, 4)]
+    path.write_bytes(b"abc")
+    with pytest.raises(Exception, match="not whole sample frames"):
+        spark.read.format("pcm_frames").options(path=str(path)).load().count()
+
+
+def test_recordings_start_and_stop(spark):
+    frames = spark.createDataFrame([("s", "m", k, 0, 0, k, 16000, 1, [k / 10]) for k in range(9)], FRAME)
+    controls = spark.createDataFrame([("s", 0, "stop"), ("s", 1, "start"), ("s", 2, "start"), ("s", 4, "stop"), ("s", 5, "start"), ("s", 6, "other"), ("t", 0, "start")], "source_id string, arrival_ns long, action string")
+    rows = pcm.recorded(frames, controls).orderBy("seq").collect()
+    assert [(r.seq, r.stream_id) for r in rows] == [(2, "m-1"), (3, "m-1"), (4, "m-1"), (6, "m-2"), (7, "m-2"), (8, "m-2")]
+
+
+def test_streams_are_piped_in_order(spark, tmp_path):
+    frames = spark.createDataFrame([("s", "m", k, 0, 0, 0, 16000, 1, [k / 32767]) for k in (2, 0, 1)], FRAME)
+    code = f"import sys; open({str(tmp_path / 'got')!r}, 'wb').write(sys.stdin.buffer.read())"
+    assert [tuple(r) for r in pcm.pipe(frames, [sys.executable, "-c", code]).collect()] == [("s", "m", 6, 0)]
+    assert (tmp_path / "got").read_bytes() == struct.pack("<3h", 0, 1, 2)
+    odd = frames.unionByName(spark.createDataFrame([("s", "m", 3, 0, 0, 0, 8000, 1, [0.0])], FRAME))
+    with pytest.raises(Exception, match="changes from"):
+        pcm.pipe(odd, ["cat"]).collect()
+    with pytest.raises(Exception, match="ended with 3"):
+        pcm.pipe(frames, [sys.executable, "-c", "import sys; sys.stdin.read(); raise SystemExit(3)"]).collect()
+
+
+def growing():
+    return lambda state, x: ((state or 0) + len(x), ("hey" if (state or 0) + len(x) < 9 else " ", 0.1 * ((state or 0) + len(x))))
+
+
+def test_keywords_start_anew_and_cool_down():
+    rows = [{"source_id": "s", "seq": k, "arrival_ns": k * 10**6, "segment": 1 + (k > 4), "opened": k in (0, 5), "closed": k == 4, "samples": None if k == 4 else [0.0, 0.0]} for k in range(9)]
+    out = run(models.keyword(growing, 0.35, 3.0), rows)
+    # sums 2, 4 (0.4: a hit), 6 and 8 (too soon); anew: 2, 4 (a hit), 6, 8 (too soon)
+    assert [(o["seq"], o["segment"], round(o["score"], 1)) for o in out] == [(1, 1, 0.4), (6, 2, 0.4)]

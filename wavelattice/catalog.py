@@ -389,6 +389,32 @@ _register("kws_cooldown", lambda s, d: ordered_fold(_probabilities(s, d).filter(
  SELECT source_id, seq FROM f""")
 
 
+def _louder():
+    """A stand-in for a keyword model: the loudest sample since its segment began is the score."""
+
+    def model(state, x):
+        top = max(state or 0.0, float(abs(x).max()))
+        return top, ("word", min(1.0, 2 * top)) if top > 0.1 else None
+
+    return model
+
+
+def kws_keyword(spark, sf_dir):
+    gated = ordered_fold(_probabilities(spark, sf_dir).withColumn("active", F.expr("probability > 0.33")), stateful.stream_gate(0, 1, 1), stateful.GATED)
+    return ordered_fold(gated, models.keyword(_louder, 0.35, 2.0), models.KEYWORDS).withColumn("score", F.round("score", 5))
+
+
+# segments as in kws_stream_gate, without pre-roll; the score is the loudest sample since the segment's first row
+_register("kws_keyword", kws_keyword, f"""WITH RECURSIVE {_PROB}, a AS (SELECT source_id, seq, p > 0.33 AS act, list_max(list_transform(samples, lambda x: abs(x)))::DOUBLE AS top FROM p),
+ f AS (SELECT source_id, -1::BIGINT AS seq, false AS op, 0::BIGINT AS seg, NULL::BIGINT AS voice, false AS pass, 0.0::DOUBLE AS top, NULL::BIGINT AS last, false AS hit FROM (SELECT DISTINCT source_id FROM a)
+  UNION ALL SELECT source_id, seq, op2, seg, voice, pass, top2, CASE WHEN hit THEN seq ELSE last END, hit FROM (
+   SELECT *, pass AND top2 > 0.1 AND least(1.0::DOUBLE, 2 * top2) >= 0.35 AND (last IS NULL OR seq - last >= 2) AS hit FROM (
+    SELECT source_id, seq, act OR op AND quiet <= 2 AS op2, seg + CASE WHEN act AND NOT op THEN 1 ELSE 0 END AS seg, CASE WHEN act THEN seq ELSE voice END AS voice, act OR op AND quiet <= 1 AS pass, last,
+      CASE WHEN act AND NOT op THEN now ELSE CASE WHEN act OR op AND quiet <= 1 THEN greatest(top, now) ELSE top END END AS top2
+    FROM (SELECT a.source_id, a.seq, a.act, a.top AS now, f.op, f.seg, f.voice, f.top, f.last, a.seq - f.voice AS quiet FROM f JOIN a ON a.source_id = f.source_id AND a.seq = f.seq + 1))))
+ SELECT source_id, seq, seg AS segment, 'word' AS keyword, round(least(1.0::DOUBLE, 2 * top), 5) AS score FROM f WHERE hit""")
+
+
 def _counting_model():
     """A stand-in for a recogniser: its text is the number of whole groups of 32 samples heard."""
 
@@ -638,6 +664,22 @@ q AS (SELECT source_id, pos, (sign({_SHORT}) * floor(abs({_SHORT}) + 0.5))::BIGI
 SELECT source_id, 44 + 2 * count(*) AS n_bytes, 16000 AS rate, 1 AS channels, count(*) AS n, sum(x)::BIGINT AS sum, sum(x * pos)::BIGINT AS weighted FROM q GROUP BY source_id""")
 
 
+def record_clips(spark, sf_dir):
+    """Recordings from a start at each tenth frame to a stop four frames later, as WAV bytes read back."""
+    frames = frames_embeddings(spark, sf_dir)
+    action = F.when(F.col("seq") % 10 == 2, "start").when(F.col("seq") % 10 == 5, "start").when(F.col("seq") % 10 == 6, "stop").when(F.col("seq") % 10 == 8, "stop")
+    controls = frames.select("source_id", (F.col("arrival_ns") + 1).alias("arrival_ns"), action.alias("action"))
+    made = pcm.record_wav(pcm.recorded(frames, controls))
+    return _wav_sums(made.select(F.concat_ws("/", "source_id", "stream_id").alias("source_id"), "wav"))
+
+
+# a control comes just after a frame: 3, 4, 5 and 6 of each ten are recorded
+_register("record_clips", record_clips, f"""WITH {EMBEDDINGS_SQL}, r AS (SELECT source_id || '/emb-' || (seq // 10 + 1) AS source_id, seq % 10 - 3 AS k, samples FROM emb WHERE seq % 10 BETWEEN 3 AND 6),
+l AS (SELECT source_id, k * 64 + i AS pos, samples[i] AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM r)),
+q AS (SELECT source_id, pos, (sign({_SHORT}) * floor(abs({_SHORT}) + 0.5))::BIGINT AS x FROM l)
+SELECT source_id, 44 + 2 * count(*) AS n_bytes, 16000 AS rate, 1 AS channels, count(*) AS n, sum(x)::BIGINT AS sum, sum(x * pos)::BIGINT AS weighted FROM q GROUP BY source_id""")
+
+
 def file_pipeline(spark, sf_dir):
     """PCM16 bytes in, checked, to float, gain 2, out as FLOAT32 bytes: exact sums of what is written."""
     wire = pcm.to_wire(frames_embeddings(spark, sf_dir), "PCM16LE")

@@ -54,6 +54,35 @@ def vad_windows(make: Callable[[], Callable[[Samples], float]], window: int = 51
     return step
 
 
+KEYWORDS = "source_id string, seq long, segment long, keyword string, score double"
+
+
+def keyword(make: Callable[[], Callable[[object, Samples], tuple[object, tuple[str, float] | None]]], threshold: float = 0.5, cooldown_ms: float = 1500.0) -> Step:
+    """Detections over the rows of ``stateful.stream_gate``.
+
+    The model takes (its state or None, samples) and gives (its state, a
+    keyword with its score or None). It starts anew with each segment; a hit
+    of a blank keyword, below the threshold, or too soon after one that passed
+    (in any segment) goes.
+    """
+    if not 0 <= threshold <= 1 or cooldown_ms < 0:
+        raise ValueError("keyword parameters are out of range")
+
+    def step(state, row):
+        model, last = state or (None, None)
+        if row["closed"] or row["opened"]:
+            model = None
+        if row["samples"] is None or not len(row["samples"]):
+            return (model, last), []
+        model, hit = _made(make)(model, np.asarray(row["samples"], np.float32))
+        now = row["arrival_ns"]
+        if hit is None or not hit[0].strip() or hit[1] < threshold or last is not None and now - last < cooldown_ms * 1e6:
+            return (model, last), []
+        return (model, now), [{"source_id": row["source_id"], "seq": row["seq"], "segment": row["segment"], "keyword": hit[0], "score": float(hit[1])}]
+
+    return step
+
+
 TRANSCRIPTS = "source_id string, seq long, session_id string, user_turn_id long, text string, is_final boolean, accepted_samples long"
 
 

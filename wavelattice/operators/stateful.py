@@ -192,7 +192,7 @@ def vad_estimator(speech: float = 0.55, silence: float = 0.35, start_delta: floa
     return step
 
 
-GATED = "source_id string, seq long, segment long, opened boolean, merged boolean, closed boolean, samples array<float>"
+GATED = "source_id string, seq long, arrival_ns long, segment long, opened boolean, merged boolean, closed boolean, samples array<float>"
 
 
 def stream_gate(pre_roll_ms: int = 500, hangover_ms: int = 900, merge_gap_ms: int = 400, sample_rate: int = 16000) -> Step:
@@ -224,7 +224,7 @@ def stream_gate(pre_roll_ms: int = 500, hangover_ms: int = 900, merge_gap_ms: in
             elif quiet > (hangover_ms + merge_gap_ms) * 1_000_000:
                 is_open, waiting, closed = False, False, True
         held = np.concatenate([held, x])[-room:] if room else held
-        made = {"source_id": row["source_id"], "seq": row["seq"], "segment": segment, "opened": opened, "merged": merged, "closed": closed, "samples": out}
+        made = {"source_id": row["source_id"], "seq": row["seq"], "arrival_ns": now, "segment": segment, "opened": opened, "merged": merged, "closed": closed, "samples": out}
         return (is_open, segment, voice, waiting, held), [made] if out is not None or closed else []
 
     return step

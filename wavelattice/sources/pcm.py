@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import FRAME
 from ..operators.stateful import arrow_schema
 
 WIRE = "source_id string, stream_id string, seq long, generation long, stamp_ns long, arrival_ns long, sample_rate int, channels int, encoding string, bit_depth int, layout string, data binary"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+WIRE_KINDS = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in WIRE.split(", "))])
 #: encoding: (numpy type, bits, what a sample is divided by).
 ENCODINGS = {"PCM16LE": ("<i2", 16, 32768.0), "PCM32LE": ("<i4", 32, 2147483648.0), "FLOAT32LE": ("<f4", 32, 1.0)}
 LAYOUTS = ("interleaved", "planar")
@@ -85,7 +87,7 @@ def from_wire(wire: DataFrame, **expected) -> DataFrame:
 
 def to_wire(frames: DataFrame, encoding: str = "FLOAT32LE", layout: str = "interleaved") -> DataFrame:
     _need(encoding in ENCODINGS and layout in LAYOUTS, "format is not known")
-    kinds = arrow_schema(WIRE)
+    kinds = WIRE_KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +112,7 @@ def read_pcm(spark: SparkSession, path: str, encoding: str = "PCM16LE", rate: in
     whole = F.when((F.col("n") > 0) & (F.floor("n") == F.col("n")), F.col("n").cast("long")).otherwise(F.raise_error(F.concat(F.lit("not whole sample frames: "), F.col("path"))))
     ranges = files.withColumn("n", whole).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
     ranges = ranges.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(loops - 1)))).repartition(F.col("path"), F.col("at"), F.col("turn"))
-    kinds = arrow_schema(WIRE)
+    kinds = WIRE_KINDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -223,6 +225,69 @@ def write_files(frames: DataFrame, folder: str, kind: str = "wav", encoding: str
     return _in_order(frames).mapInArrow(run, schema)
 
 
+def recorded(frames: DataFrame, controls: DataFrame) -> DataFrame:
+    """Frames between a start and the next stop, ``stream_id`` telling the recording.
+
+    ``controls``: source_id, arrival_ns, action (start or stop). A start while
+    one runs, and a stop while none does, changes nothing; frames arrive before
+    a control of the same moment. Files of the recordings: :func:`write_files`.
+    """
+    by = Window.partitionBy("source_id").orderBy("arrival_ns")
+    changes = controls.filter(F.col("action").isin("start", "stop")).withColumn("before", F.lag("action").over(by)).filter("action <> coalesce(before, 'stop')")
+    marks = changes.select("source_id", "arrival_ns", F.lit(1).alias("side"), F.col("action"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in frames.schema if f.name not in ("source_id", "arrival_ns")))
+    rows = frames.withColumns({"side": F.lit(0), "action": F.lit(None).cast("string")})
+    order = Window.partitionBy("source_id").orderBy("arrival_ns", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks).withColumns({"now": F.last("action", ignorenulls=True).over(order), "number": F.sum((F.col("action") == "start").cast("int")).over(order)})
+    live = both.filter("side = 0 AND now = 'start'")
+    return live.withColumn("stream_id", F.concat("stream_id", F.lit("-"), F.col("number"))).select(*frames.columns)
+
+
+def pipe(frames: DataFrame, args: list[str], encoding: str = "PCM16LE", timeout_s: float = 60.0) -> DataFrame:
+    """Each stream's PCM, frame after frame, into a program of its own: (source_id, stream_id, n_bytes, code).
+
+    A change of format within a stream, a program that ends early or with
+    another code than 0, and one that outlives the deadline after its input
+    has ended are errors.
+    """
+    _need(bool(args) and encoding in ENCODINGS and timeout_s > 0, "a pipe needs arguments, an encoding and a deadline")
+    schema = "source_id string, stream_id string, n_bytes long, code int"
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import subprocess
+
+        at, form, program, n, done = None, None, None, 0, []
+
+        def close() -> None:
+            program.stdin.close()
+            code = program.wait(timeout_s)
+            if code:
+                raise RuntimeError(f"{args[0]} ended with {code} for {at}")
+            done.append({"source_id": at[0], "stream_id": at[1], "n_bytes": n, "code": code})
+
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    now, fits = (row["source_id"], row["stream_id"]), (row["sample_rate"], row["channels"])
+                    if now != at:
+                        if program is not None:
+                            close()
+                        at, form, n = now, fits, 0
+                        program = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=subprocess.DEVNULL)
+                    if fits != form:
+                        raise ValueError(f"format of {now} changes from {form} to {fits}")
+                    n += program.stdin.write(encode(row["samples"], encoding, "interleaved", row["channels"]))
+            if program is not None:
+                close()
+        finally:
+            if program is not None and program.poll() is None:
+                program.kill()
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=kinds)
+
+    return frames.repartition(*_STREAM).sortWithinPartitions(*_STREAM, "seq").mapInArrow(run, schema)
+
+
 def record_wav(frames: DataFrame, encoding: str = "PCM16LE") -> DataFrame:
     """(source_id, stream_id, wav, sha256): streams short enough for a row (below 2 GiB) as WAV bytes; :func:`write_files` for others."""
     schema = "source_id string, stream_id string, wav binary"
