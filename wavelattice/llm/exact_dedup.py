@@ -33,8 +33,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import arrow_map, fresh_prefix, id_text, shuffle_parts, stored, text_slices
+from .shared import arrow_map, fresh_prefix, id_text, shuffle_parts, stored_map, text_slices
 
 LOWEST = -(2**63)
 
@@ -139,11 +140,10 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def build_index(docs: DataFrame, capacity_rows: int = 256, capacity_bytes: int = 1 << 20, max_depth: int = 18, first_depth: int = 14) -> DataFrame:
-    """The index files: a row for each batch's share of a group of equal texts."""
-    spark = docs.sparkSession
+def directory(docs: DataFrame, capacity_rows: int = 256, capacity_bytes: int = 1 << 20, max_depth: int = 18, first_depth: int = 14) -> tuple[int, np.ndarray]:
+    """(depth, bucket of each slot) for the column ``text``: one aggregation, ``2 ** first_depth`` rows to the driver at most."""
     rows = arrow_map(docs.select("text"), _prefix_counts(first_depth), "prefix long, n long, size long")
-    found = rows.groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toArrow()  # 2 ** first_depth rows at most
+    found = rows.groupBy("prefix").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).toArrow()
     bits = first_depth
     n, size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
     at = found.column("prefix").to_numpy()
@@ -154,12 +154,19 @@ def build_index(docs: DataFrame, capacity_rows: int = 256, capacity_bytes: int =
     if grow:  # below the counted prefixes hashes are uniform: share the counts out
         n, size = (np.repeat(-(-x // (1 << grow)), 1 << grow) for x in (n, size))
     depth, slots, _ = build_directory(n, size, capacity_rows, capacity_bytes)
-    dealt = (
-        arrow_map(docs, _combine(depth, slots), "bucket long, h long, text string, ids array<long>")
-        .repartition(shuffle_parts(spark), "bucket")
-        .sortWithinPartitions("bucket", "h")
-    )
-    return stored(arrow_map(dealt, _own, "bucket long, h long, chain int, text_sha256 string, uid long, ids array<long>"))
+    return depth, slots
+
+
+def _dealt(rows: DataFrame, function, schema) -> DataFrame:
+    """Rows with their bucket and hash, bucket by bucket in order of hash."""
+    return arrow_map(rows, function, schema).repartition(shuffle_parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "h")
+
+
+def build_index(docs: DataFrame, **options) -> DataFrame:
+    """The index files: a row for each batch's share of a group of equal texts."""
+    depth, slots = directory(docs, **options)
+    dealt = _dealt(docs, _combine(depth, slots), "bucket long, h long, text string, ids array<long>")
+    return stored_map(dealt, _own, "bucket long, h long, chain int, text_sha256 string, uid long, ids array<long>")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index_options) -> DataFrame:
@@ -184,14 +191,61 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def _best_rows(depth: int, slots: np.ndarray):
+    """Of a batch's equal texts the row that ranks first (largest id, nulls last), with its bucket and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, column="key"):
+                texts = batch.column("key").dictionary_encode()
+                ids = pc.fill_null(pc.cast(batch.column("id"), pa.int64()), LOWEST).to_numpy(False)
+                group = texts.indices.to_numpy(False)
+                order = np.lexsort((-np.arange(len(ids)), ids, group))
+                last = np.concatenate([group[order][1:] != group[order][:-1], [True]])
+                best = order[last]  # in order of the dictionary
+                h = _hashes(texts.dictionary)
+                slot = (h >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(h), np.int64)
+                kept = batch.take(pa.array(best))
+                yield pa.RecordBatch.from_arrays([pa.array(slots[slot]), pa.array(h.view(np.int64)), *kept.columns], ["bucket", "h", *batch.schema.names])
+
+    return run
+
+
+def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first-ranking row of each text; rows come in order of (bucket, hash), and only the chain of one hash is held."""
+    at: tuple | None = None
+    chain: dict[str, tuple] = {}  # text: (rank, place in this batch or a batch of that row alone)
+    for batch in batches:
+        ids = pc.fill_null(pc.cast(batch.column("id"), pa.int64()), LOWEST).to_pylist()
+        keys = zip(batch.column("bucket").to_pylist(), batch.column("h").to_pylist())
+        here, done = [], []
+        for i, (key, rank, text) in enumerate(zip(keys, ids, batch.column("key").to_pylist())):
+            if key != at:
+                for _, place in chain.values():
+                    (here if isinstance(place, int) else done).append(place)
+                at, chain = key, {}
+            if text not in chain or rank > chain[text][0]:  # texts are compared whole, as keys of the chain
+                chain[text] = (rank, i)
+        yield from done
+        if here:
+            yield batch.take(pa.array(here))
+        chain = {t: (rank, batch.take(pa.array([place])) if isinstance(place, int) else place) for t, (rank, place) in chain.items()}
+    for _, place in chain.values():
+        yield place
+
+
+def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
 
-    Rows repeated with the same doc_id and text are one row afterwards.
+    Whole rows move once, to the owner of their text's bucket. Rows repeated
+    with the same doc_id and text are one row afterwards.
     """
-    own = fresh_prefix(docs.columns)
-    key, sha = f"{own}_id", f"{own}_sha"
-    keys = exact_dedup(docs).filter("kept").select(F.coalesce("doc_id", F.lit(LOWEST)).alias(key), F.col("text_sha256").alias(sha))
-    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), sha: F.sha2(F.coalesce("text", F.lit("")), 256)})
-    kept = rows.join(keys, [key, sha], "left_semi")
-    return kept.dropDuplicates([key, sha]).drop(key, sha)
+    rest = [c for c in docs.columns if c != "text"]
+    empty = fresh_prefix(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), F.col("text").isNull().alias(empty))  # the text itself is the key
+    rows = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    depth, slots = directory(rows.select(F.col("key").alias("text")), **options)
+    schema = StructType.fromDDL("bucket long, h long").add("row", rows.schema["row"].dataType).add("key", "string").add("id", "long")
+    best = arrow_map(_dealt(rows, _best_rows(depth, slots), schema), _own_rows, schema)
+    text = F.when(~F.col("row")[empty], F.col("key"))
+    return best.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
