@@ -34,9 +34,9 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """(a, root) for every node of ``edges`` (a, b) that isn't its component's least node."""
     a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = stored(edges.filter("a <> b").select(a, b).distinct())
+    edges = stored(edges.filter("a <> b").select(a, b).distinct(), small=True)
     for turn in range(rounds):
         if turn != 1 and _settled(edges):  # what one round leaves is seldom settled
             return edges.select("a", F.col("b").alias("root"))
-        edges = stored(_stars(edges))
+        edges = stored(_stars(edges), small=True)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, fresh_prefix, id_text, maybe_in, shuffle_parts, stored, text_slices
+from .shared import arrow_map, fresh_prefix, id_text, maybe_in, shuffle_parts, stored, stored_map, text_slices
 from .word_hashes import hashes, mix, rolling, words_of
 
 HIGHEST = 2**63 - 1
@@ -292,7 +292,7 @@ def _late() -> Column:
 def _dealt(rows: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
     """``rows`` of groups: those of ``left`` in blocks against those of ``right`` in blocks, under keys (i, j)."""
     count = lambda c: F.ceil(F.sum(c.cast("int")) / _WIDE).cast("int")
-    blocks = stored(rows.groupBy(*keys).agg(count(left).alias("n_i"), count(right).alias("n_j")).filter("n_i > 0 AND n_j > 0"))
+    blocks = stored(rows.groupBy(*keys).agg(count(left).alias("n_i"), count(right).alias("n_j")).filter("n_i > 0 AND n_j > 0"), small=True)
     rows = rows.join(blocks, keys)
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -306,7 +306,7 @@ def _split(hot: DataFrame, nodes: DataFrame, similarity: float, small: int, dept
     parts = shuffle_parts(hot.sparkSession)
     edges: list[DataFrame] = []
     done: list[DataFrame] = []
-    live = stored(hot)
+    live = hot
     for level in range(depth):
         large = live.filter(F.col("n") > small)
         if large.limit(1).count() == 0:
@@ -315,28 +315,28 @@ def _split(hot: DataFrame, nodes: DataFrame, similarity: float, small: int, dept
         rows = stored(large.select("node", "path").join(nodes.select("node", "sketch"), "node"))
         order = F.xxhash64("node", F.lit(level))
         drawn = rows.groupBy("path", F.pmod(order, F.lit(_LEADERS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "node", "sketch")).alias("x"))
-        drawn = stored(drawn.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("x.node", "x.sketch"))).alias("leaders")))
+        drawn = stored(drawn.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("x.node", "x.sketch"))).alias("leaders")), small=True)
         if drawn.count() <= _FEW:  # some 1.5 kB each
             drawn = F.broadcast(drawn)
         compared = "node binary, path long, sketch binary, leader binary, kind tinyint"
-        found = stored(arrow_map(rows.join(drawn, "path").select("node", "path", "sketch", "leaders"), _to_leaders(similarity, False), compared))
+        found = stored_map(rows.join(drawn, "path").select("node", "path", "sketch", "leaders"), _to_leaders(similarity, False), compared)
         edges.append(found.filter("kind IS NULL").select(F.col("node").alias("a"), F.col("leader").alias("b"), _late().alias("late")))
         followed = found.filter(F.col("kind") == _OWN).groupBy("path", "leader").agg(F.count("*").alias("n")).filter("n > 1")
         followed = followed.groupBy("path").agg(F.collect_set("leader").alias("followed"))
         led = drawn.join(followed, "path").select("path", F.expr("filter(leaders, x -> array_contains(followed, x.node)) AS leaders"))
-        led = stored(led)
+        led = stored(led, small=True)
         if led.count() <= _FEW:
             led = F.broadcast(led)
-        near = stored(arrow_map(rows.join(led, "path").select("node", "path", "sketch", "leaders"), _to_leaders(similarity, True), compared))
+        near = stored_map(rows.join(led, "path").select("node", "path", "sketch", "leaders"), _to_leaders(similarity, True), compared)
         groups = _dealt(near, ["path", "leader"], F.col("kind") == _OWN, F.col("kind") == _GUEST)
         groups = groups.repartition(parts, "path", "leader", "i", "j").sortWithinPartitions("path", "leader", "i", "j")
-        edges.append(arrow_map(groups, _guest_links(similarity), _LINK))
+        edges.append(stored_map(groups, _guest_links(similarity), _LINK))
         stays = found.filter(F.col("kind") == _STAYS).select("node", "path").join(nodes.select("node", "paths"), "node")
         bar = int(2.0**63 * min(1.0, branch / expected))
         chosen = F.filter(F.transform("paths", lambda t: F.xxhash64("path", t)), lambda h: F.abs(h) < bar)
         same_run = F.transform(chosen, lambda h: h - F.pmod(h, F.lit(2)) + F.pmod(F.col("path"), F.lit(2)))
         new = stored(stays.select("node", F.explode(same_run).alias("path")))
-        shared = stored(new.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
+        shared = stored(new.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), small=True)
         live = stored(new.join(shared, "path").select("node", "path", "n"))
     for part in done:
         live = live.unionByName(part)
@@ -454,7 +454,7 @@ def _run_links(nodes: DataFrame, turn: int, similarity: float, tokens: int, smal
     parts = shuffle_parts(nodes.sparkSession)
     begins = F.transform(F.filter(F.arrays_zip("paths", "turns"), lambda x: x["turns"] == turn), lambda x: x["paths"])
     chosen = nodes.select("node", F.explode(begins).alias("path"))
-    shared = stored(chosen.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = stored(chosen.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), small=True)
     met = stored(chosen.join(shared, "path").select("node", "path", "n"))
     led, rows = _split(met.filter(F.col("n") > small), nodes, similarity, small, depth, branch, 2 * tokens * _MOST_TURNS)
     rows = rows.unionByName(met.filter(F.col("n") <= small))
@@ -462,8 +462,7 @@ def _run_links(nodes: DataFrame, turn: int, similarity: float, tokens: int, smal
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("node", "path", F.explode(_pairs("blocks", "block")).alias("p")).select("node", "path", "p.i", "p.j")
     buckets = rows.join(nodes.select("node", "size", "sketch"), "node").repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
-    edges = arrow_map(buckets, _sketch_links(similarity), _LINK)
-    return stored(reduce(DataFrame.unionByName, led, edges))
+    return reduce(DataFrame.unionByName, led, stored_map(buckets, _sketch_links(similarity), _LINK))
 
 
 def linked_share(links: DataFrame) -> float:
@@ -480,7 +479,7 @@ def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: i
     parts = shuffle_parts(spark)
     rows = id_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(HIGHEST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     kinds = "doc long, th long, node binary, size int, sketch binary, paths array<long>, turns array<tinyint>"
-    seen = stored(arrow_map(rows, _describe(words, tokens), kinds))
+    seen = stored_map(rows, _describe(words, tokens), kinds)
     nodes = stored(
         seen.filter("node IS NOT NULL").groupBy("node").agg(
             F.min(F.struct("doc", "th", "size", "sketch", "paths", "turns")).alias("x"), F.count("*").alias("copies")
@@ -498,7 +497,7 @@ def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: i
     roots = near.select(F.col("a").alias("node"), "root")
     roots = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "doc", "th", "copies", "size"), "node"))
     weight = F.greatest(F.count("*") / block, F.sum("size") / _MOST_SHINGLES)
-    sizes = stored(roots.groupBy("root").agg(F.ceil(weight).cast("int").alias("blocks")))  # a join of two plain shuffles: a large component is split there
+    sizes = stored(roots.groupBy("root").agg(F.ceil(weight).cast("int").alias("blocks")), small=True)  # a join of two plain shuffles: a large component is split there
     placed = stored(roots.drop("size").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     key_hash = F.xxhash64("doc", "th")
     texts = maybe_in(rows, key_hash, placed, key_hash).join(placed, ["doc", "th"])
@@ -508,7 +507,7 @@ def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: i
     items = items.dropDuplicates(["node"])  # rows repeated with the same doc_id and text
     dealt = items.withColumn("p", F.explode(_pairs("blocks", "block"))).select("root", "node", "copies", "block", "items", "p.i", "p.j")
     dealt = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    exact = stored(arrow_map(dealt, _verify(similarity), "a binary, b binary, links long"))
+    exact = stored_map(dealt, _verify(similarity), "a binary, b binary, links long")
 
     classes = components(exact.select("a", "b"))
     links = exact.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import TABLES, arrow_map, id_text, stored, text_slices
+from .shared import TABLES, arrow_map, id_text, stored_map, text_slices
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(f"[!-~ \\t-\\r{_LATIN}]*").fullmatch
@@ -128,7 +128,7 @@ def byte_tokenizer(path: str) -> ByteTokenizer:
 
 
 def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """Pieces with their task's number and their rank among its pieces of that length."""
+    """Pieces, stored, with their task's number and their rank among its pieces of that length."""
     end = np.asarray([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataF
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    return arrow_map(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
+    return stored_map(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
 def patterns_of(capacity: int, present: np.ndarray, spread: int = 24) -> np.ndarray:
@@ -257,7 +257,7 @@ def intervals(sequences: list[tuple[tuple[int, ...], int]], capacity: int) -> di
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(piece_table(id_text(docs, id_col, text_col), path, capacity, end_id))
+    pieces = piece_table(id_text(docs, id_col, text_col), path, capacity, end_id)
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = by_task.groupBy("length").agg(F.sum("n").alias("n")).toArrow()  # ``capacity`` rows at most
     counts = np.zeros(capacity + 1, np.int64)

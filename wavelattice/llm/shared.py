@@ -44,17 +44,73 @@ def _writer(df: DataFrame):
     return df.write.option("compression", "zstd").options(**_PLAIN_FILES)
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
+def stored(df: DataFrame, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage.
+
+    ``small``: the rows are few beside those of the tables they come from, so
+    an eighth of the usual partitions holds them.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = _writer(df)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    _writer(df.coalesce(max(1, shuffle_parts(spark) // 8)) if small else df).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a task writes together.
+_GROUP = 16 << 20
+
+
+def stored_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``stored(arrow_map(df, function, schema))``, but tasks write what ``function`` makes themselves.
+
+    Rows don't go back through the JVM. A task's file counts once the task has
+    succeeded and its name has come back; what failed attempts left is removed.
+    """
+    spark = df.sparkSession
+    root = shared_dir(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        from wavelattice.llm.shared import open_output, tidy
+
+        name, writer, held, size = f"{uuid.uuid4().hex}.parquet", None, [], 0
+
+        def flush() -> None:
+            nonlocal writer, held, size
+            if writer is None:
+                writer = pq.ParquetWriter(open_output(f"{root}/{name}"), held[0].schema, compression="zstd")
+            table = pa.Table.from_batches(held)
+            writer.write_table(table, row_group_size=max(1, table.num_rows))
+            held, size = [], 0
+
+        try:
+            for batch in function(batches):
+                if batch.num_rows:
+                    held.append(batch)
+                    size += batch.nbytes
+                    if size >= _GROUP:
+                        flush()
+            if held:
+                flush()
+            if writer is not None:
+                writer.close()
+                yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+        finally:
+            tidy()
+
+    from pyarrow import fs
+
+    names = set(df.mapInArrow(run, "name string").toArrow().column(0).to_pylist())  # a name for each task
+    if not names:
+        return spark.createDataFrame([], schema)
+    system, folder = fs.FileSystem.from_uri(root)
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if info.base_name not in names:
+            system.delete_file(info.path)
+    return spark.read.schema(schema).parquet(root)
+
+
 def bucketed(df: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
     """Like :func:`stored`, dealt into buckets by ``keys`` and sorted in them: later joins on the keys don't move it again.
 
@@ -128,7 +184,7 @@ def text_slices(batch: pa.RecordBatch, limit: int = 4 << 20, column: str = "text
 
 
 def open_output(uri: str):
-    """A binary stream to a new file of the shared folder; parents are made."""
+    """A binary stream to a new file; its folder is made."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, bucketed, id_text, maybe_in, stored, text_slices
+from .shared import arrow_map, bucketed, id_text, maybe_in, stored, stored_map, text_slices
 from .word_hashes import hashes, rolling, sliding_min, words_of
 
 HIGHEST = 2**63 - 1
@@ -73,7 +73,7 @@ def stretches(words: list[str], size: int, anchor: int, hash_bits: int = 64) ->
 
 
 def fingerprints(docs: DataFrame, size: int, anchor: int, hash_bits: int) -> DataFrame:
-    """``docs``: doc, th, text. One row a document, with its stretches of windows."""
+    """``docs``: doc, th, text. One row a document, stored, with its stretches of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, size: int, anchor: int, hash_bits: int) -> Dat
                     ["doc", "th", "n_words", "sha", "runs"],
                 )
 
-    return arrow_map(docs, run, _SCHEMA)
+    return stored_map(docs, run, _SCHEMA)
 
 
 class FingerprintIndex:
@@ -175,7 +175,7 @@ def dedup_substrings(docs: DataFrame, size: int = 50, anchor: int = 8, batches:
     """
     named = lambda df: id_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(HIGHEST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
     rows = named(docs)
-    seen = stored(fingerprints(rows, size, anchor, hash_bits))
+    seen = fingerprints(rows, size, anchor, hash_bits)
     some = batches > 1 and seen.limit(1).count() > 0
     cuts = sorted(set(seen.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01))) if some else []
     index = FingerprintIndex() if index is None else index
@@ -187,18 +187,18 @@ def dedup_substrings(docs: DataFrame, size: int = 50, anchor: int = 8, batches:
         found.append(stored(hits.select("doc", "th", "m", "n", "at", (F.col("seen.doc") < F.col("doc")).alias("repeat"))))
     found = reduce(DataFrame.unionByName, found)
     entries = index.entries().select("m", "first.*")
-    several = stored(entries.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"))
+    several = stored(entries.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), small=True)
     own = entries.unionByName(found.filter(~F.col("repeat")).select("m", "doc", "th", "n", "at"))
     todo = stored(own.join(several, "m").groupBy("doc", "th").agg(F.collect_set(F.struct("n", "at")).alias("todo")))
     whole = stored(found.filter("repeat").groupBy("doc", "th").agg(F.collect_set(F.struct("n", "at")).alias("whole")))
     key_hash = F.xxhash64("doc", "th")
     every = rows if history is None else rows.unionByName(named(history))
     near = maybe_in(every, key_hash, todo, key_hash)
-    windows = stored(arrow_map(near.join(todo, ["doc", "th"]), _windows(size), "doc long, th long, pos int, w binary"))
+    windows = stored_map(near.join(todo, ["doc", "th"]), _windows(size), "doc long, th long, pos int, w binary")
     owner = windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    owner = stored(owner.select("w", "first"))  # a join of two plain shuffles: a passage that many share is split there
+    owner = stored(owner.select("w", "first"), small=True)  # a join of two plain shuffles: a passage that many share is split there
     late = windows.join(owner, "w").filter("first < doc")
-    single = stored(late.groupBy("doc", "th").agg(F.collect_set("pos").alias("single")))
+    single = stored(late.groupBy("doc", "th").agg(F.collect_set("pos").alias("single")), small=True)
     gone = stored(whole.join(single, ["doc", "th"], "full"))
     near = maybe_in(rows, key_hash, gone, key_hash)
     changed = arrow_map(near.join(gone, ["doc", "th"]), _apply(size), "doc long, th long, n_removed long, kept_sha string, kept_text string")

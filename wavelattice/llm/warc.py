@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, open_input, open_output, shared_dir, shuffle_parts, stored
+from .shared import arrow_map, open_input, open_output, shared_dir, shuffle_parts, stored, stored_map
 
 _CRLF = b"\r\n"
 RECORDS = "record_id string, record_type string, page_id long, refers_to long, payload_digest string, origin_id string, segment int, total_length long, block binary"
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame, file_bytes: int = 8 << 20, segment_bytes: i
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "records"])
 
-    return stored(arrow_map(pages, run, "path string, records long"))
+    return stored_map(pages, run, "path string, records long")
 
 
 def _members(source, step: int = 1 << 20) -> Iterator[bytes]:
@@ -232,7 +232,7 @@ def payloads(records: DataFrame) -> DataFrame:
 
 
 def finish_whole(records: DataFrame) -> DataFrame:
-    """Records in one pass: those that are whole as ``_PAYLOAD`` (column ``done``), segments as they are."""
+    """Records in one pass, stored: those that are whole as ``_PAYLOAD`` (column ``done``), segments as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done_kind = pa.struct(list(zip(_PAYLOAD_NAMES, _PAYLOAD_KINDS)))
@@ -247,7 +247,7 @@ def finish_whole(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(done, done_kind)], [*batch.schema.names, "done"])
 
     fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in _PAYLOAD.split(", "))
-    return arrow_map(records, run, f"{RECORDS}, done struct<{fields}>")
+    return stored_map(records, run, f"{RECORDS}, done struct<{fields}>")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 100, file_bytes: int = 8 << 20, segment_bytes: int = 1 << 16) -> DataFrame:
@@ -265,5 +265,5 @@ def archive_pages(pages: DataFrame, least_bytes: int = 100, file_bytes: int = 8
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     dealt = marked.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("first"))})
     manifest = write_archives(dealt.select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url", "revisit"), file_bytes, segment_bytes)
-    found = stored(finish_whole(read_records(manifest)))
+    found = finish_whole(read_records(manifest))
     return found.filter("done IS NOT NULL").select("done.*").unionByName(payloads(reassemble(found)))
