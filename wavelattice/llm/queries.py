@@ -86,6 +86,16 @@ ORACLES = {
                  ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op8_jaccard_join": """
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + least(4, len(w) - 1)], ' '))) AS g FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 10 * k >= 8 * (nx.n + ny.n - k)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+        k AS (SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size FROM r GROUP BY x)
+        SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, class_size FROM k LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x) USING (doc_id)""",
     "op6_secret_scan": secrets.oracle(),
     "op1_warc_segments": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
