@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from wavelattice.model import FRAME
-from wavelattice.operators import features
+from wavelattice.operators import features, resample
 
 
 def frame(spark, *signals):
@@ -77,3 +77,27 @@ def test_mels_have_every_part(spark):
     assert max(top) - min(low) <= 2.0 + 1e-6  # eight below the top, a quarter of it
     assert features.log_mel(frame(spark, np.zeros(400))).first().mel == pytest.approx([np.log(1e-10)] * 80)
     assert features.stft(frame(spark, x), 32, 16, "rectangular").count() == 3 and features.stft(frame(spark, x[:50]), 32, 16).count() == 0
+
+
+@pytest.mark.parametrize("rate, target", [(48000, 16000), (16000, 48000), (44100, 16000)])
+def test_band_limited_resampling_keeps_the_passband(rate, target):
+    t = np.arange(rate // 4) / rate
+    x = (0.5 * np.sin(2 * np.pi * 1000 * t)).astype(np.float32)
+    step, state, out = resample.sinc_step(target, 48), None, []
+    for k in range(0, len(x), 480):
+        state, made = step(state, {"source_id": "s", "seq": k // 480, "sample_rate": rate, "channels": 1, "samples": x[k : k + 480]})
+        out += [m["samples"] for m in made]
+    y = np.concatenate(out)
+    want = 0.5 * np.sin(2 * np.pi * 1000 * np.arange(len(y)) / target)
+    inner = slice(target // 50, None)  # past the silence before the stream
+    noise = y[inner] - want[inner]
+    assert 10 * np.log10((want[inner] ** 2).mean() / (noise**2).mean()) > 120
+    whole = resample.sinc_step(target, 48)(None, {"source_id": "s", "seq": 0, "sample_rate": rate, "channels": 1, "samples": x})[1][0]["samples"]
+    assert np.abs(whole - y).max() < 1e-6 and abs(len(y) - len(x) * target // rate) <= 2 * 48 * max(1, target / rate) + 1
+
+
+def test_band_limited_resampling_removes_what_the_target_can_not_hold():
+    t = np.arange(48000) / 48000
+    row = {"source_id": "s", "seq": 0, "sample_rate": 48000, "channels": 2, "samples": np.stack([0.5 * np.sin(2 * np.pi * 13000 * t), np.full(48000, 0.25)], 1).ravel()}
+    y = resample.sinc_step(16000, 48)(None, row)[1][0]["samples"].reshape(-1, 2)[400:]
+    assert np.abs(y[:, 0]).max() < 1e-5 and np.abs(y[:, 1] - 0.25).max() < 1e-6

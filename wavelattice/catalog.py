@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import commands, tones
 from .model import EMBEDDINGS_SQL, EVENTS_SQL, digest, digest_sql, digest_tail, frames_embeddings, frames_events, rejects
-from .operators import asof, features, filters, models, stateful, timeline
+from .operators import asof, features, filters, models, resample, stateful, timeline
 from .operators import pointwise as pw
 from .operators.filters import run_filters
 from .operators.stateful import OUT, ordered_fold
@@ -160,12 +160,12 @@ def overlap_add(spark, sf_dir):
 _register("overlap_add", overlap_add, _packed_sql("SELECT source_id, pos // 16 AS seq, pos, v, (pos // 16) * 1000000 AS stamp_ns FROM (SELECT *, max(pos) OVER (PARTITION BY source_id) AS top FROM l) WHERE pos // 16 <= (top + 1 - 32) // 16", 16, "stamp_ns"))
 
 
-def resample(spark, sf_dir):
+def resample_linear(spark, sf_dir):
     return digest(timeline.resample_linear(frames_events(spark, sf_dir), 24000))
 
 
 # output k stands between samples k * 16000 // 24000 and the next; a frame gives what lies after the frame before it and not after its own last sample
-_register("resample_linear", resample, _packed_sql("""SELECT source_id, (k * 16000 + 23999) // 24000 // 16 AS seq, k AS pos, CAST((1 - frac) * v + frac * coalesce(nv, v) AS FLOAT) AS v
+_register("resample_linear", resample_linear, _packed_sql("""SELECT source_id, (k * 16000 + 23999) // 24000 // 16 AS seq, k AS pos, CAST((1 - frac) * v + frac * coalesce(nv, v) AS FLOAT) AS v
     FROM (SELECT source_id, k, v::DOUBLE AS v, nv::DOUBLE AS nv, (k * 16000 - pos * 24000) / 24000.0::DOUBLE AS frac
           FROM (SELECT *, unnest(range((pos * 24000 + 15999) // 16000, ((pos + 1) * 24000 + 15999) // 16000)) AS k FROM (SELECT *, lead(v) OVER (PARTITION BY source_id ORDER BY pos) AS nv FROM l)))
     WHERE nv IS NOT NULL OR frac = 0""", None))
@@ -179,6 +179,29 @@ def resample_stereo(spark, sf_dir):
 _register("resample_stereo", resample_stereo, _packed_sql("SELECT source_id, seq, pos, v FROM l WHERE pos // 2 % 2 = 0", None))
 
 
+_HALF = 12
+_shape = " + ".join(f"{c!r}::DOUBLE * cos(pi() * {k} * t / {{reach}})" for k, c in enumerate(resample.WINDOW))
+
+
+def _sinc_sql(rate: int, target: int) -> str:
+    """Sums over the samples around each output; a frame gives the outputs whose last sample it brings."""
+    reach, cut = resample.width(rate, target, _HALF), min(1.0, target / rate)
+    t = f"(k * {rate} % {target} / {float(target)!r}::DOUBLE - j)"
+    w = f"CASE WHEN abs(t) >= {reach} THEN 0 ELSE ({_shape.format(reach=reach)}) * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * {cut!r}::DOUBLE * t) / (pi() * {cut!r}::DOUBLE * t) END END"
+    return f"""WITH {_LONG}, n AS (SELECT source_id, max(pos) AS top FROM l GROUP BY source_id),
+    q AS (SELECT source_id, k, top FROM (SELECT *, unnest(range(0, (top + 1) * {target} // {rate} + 1)) AS k FROM n) WHERE k * {rate} // {target} + {reach} <= top),
+    ks AS (SELECT DISTINCT k FROM q), ws AS (SELECT k, j, {t} AS t FROM (SELECT k, unnest(range({1 - reach}, {reach + 1})) AS j FROM ks)),
+    wn AS (SELECT k, j, w / sum(w) OVER (PARTITION BY k) AS w FROM (SELECT k, j, {w} AS w FROM ws)),
+    y AS (SELECT q.source_id, q.k, (q.k * {rate} // {target} + {reach}) // 16 AS seq, CAST(sum(wn.w * coalesce(l.v::DOUBLE, 0)) AS FLOAT) AS v
+          FROM q JOIN wn ON wn.k = q.k LEFT JOIN l ON l.source_id = q.source_id AND l.pos = q.k * {rate} // {target} + wn.j GROUP BY q.source_id, q.k),
+    o AS (SELECT source_id, seq, list(v ORDER BY k) AS samples FROM y GROUP BY source_id, seq)
+    SELECT source_id, seq, len(samples) AS n, round(list_sum(list_transform(samples, lambda x: x::DOUBLE)), 4) + 0.0 AS total FROM o"""
+
+
+for _target in (24000, 8000):
+    _register(f"resample_sinc_{_target}", lambda s, d, t=_target: digest(resample.resample_sinc(frames_events(s, d), t, _HALF)).select("source_id", "seq", "n", "total"), _sinc_sql(16000, _target))
+
+
 def _dup_frames(spark, sf_dir) -> DataFrame:
     """Lines of orders as frames with gaps, repeats and disorder: seq is the line number, arrival a total order."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

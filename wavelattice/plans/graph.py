@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import asof, features, filters, pointwise, stateful, timeline
+from ..operators import asof, features, filters, pointwise, resample, stateful, timeline
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,7 @@ REGISTRY: dict[str, Op] = {
     **{name: _filter(getattr(filters, name)) for name in _FILTERS},
     **{name: Op(getattr(timeline, name)) for name in _WINDOWS},
     **{name: Op(getattr(features, name), needs=1, frames=False) for name in _FEATURES},
+    "resample_sinc": Op(resample.resample_sinc),
     "pan": Op(pointwise.pan, needs=2, leaves=2),
     "stereo_widening": Op(pointwise.stereo_widening, needs=2, leaves=2),
     "downmix": Op(pointwise.downmix),
