@@ -7,10 +7,15 @@ of whole arrays. No plan has a row for each sample.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import accepted
+from ..model import FRAME, accepted
+from .stateful import arrow_schema
 
 STREAM = ("source_id", "stream_id")
 
@@ -113,26 +118,35 @@ def resample_linear(frames: DataFrame, target_rate: int = 16000) -> DataFrame:
     in_order = Window.partitionBy(*STREAM).orderBy("seq")
     rows = positions(_one_format(accepted(frames)))
     rows = rows.withColumn("__tail", F.lag(F.expr("slice(samples, size(samples) - channels + 1, channels)")).over(in_order))
-    rows = rows.withColumns({
-        "__held": F.concat(F.coalesce("__tail", F.expr("slice(samples, 1, 0)")), "samples"),
-        "__start": F.when(F.col("__tail").isNull(), F.col("first")).otherwise(F.col("first") - 1),
-        "__last": F.col("first") + _count() - 1,
-    })
-    low = F.expr(f"if(first = 0, 0, (first - 1) * {target_rate} div sample_rate + 1)")
-    high = F.expr(f"__last * {target_rate} div sample_rate")
-    rows = rows.withColumns({"__low": low, "__high": high}).filter("__low <= __high")
-    at = lambda i: F.col("__low") + F.floor(i / F.col("channels"))
-    source = lambda i: F.floor(at(i) * F.col("sample_rate") / target_rate)
-    value = lambda index, i: F.get("__held", ((index - F.col("__start")) * F.col("channels") + i % F.col("channels")).cast("int")).cast("double")
-
-    def one(i: Column) -> Column:
-        share = (at(i) * F.col("sample_rate") - source(i) * target_rate) / F.lit(float(target_rate))
-        return ((1 - share) * value(source(i), i) + share * value(F.least(source(i) + 1, F.col("__last")), i)).cast("float")
-
-    n = (F.col("__high") - F.col("__low") + 1) * F.col("channels")
-    samples = F.when(F.size("__held") > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one))
-    out = rows.withColumn("samples", samples).withColumn("sample_rate", F.lit(target_rate))
-    return out.drop("first", "__tail", "__held", "__start", "__last", "__low", "__high")
+    names = [c.split()[0] for c in FRAME.split(", ")]
+    kinds = arrow_schema(FRAME)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(c).to_pylist() for c in ("first", "sample_rate", "channels")))
+            samples, tails = batch.column("samples"), batch.column("__tail")
+            flat, ends = samples.values.to_numpy(False), samples.offsets.to_numpy()
+            kept, out = [], []
+            for i, (first, rate, channels) in enumerate(columns):
+                x = flat[ends[i] : ends[i + 1]].reshape(-1, channels)
+                begin = first
+                if tails[i].is_valid:
+                    x, begin = np.concatenate([np.asarray(tails[i].as_py(), np.float32)[None, :], x]), first - 1
+                last = begin + len(x) - 1
+                k = np.arange((first - 1) * target_rate // rate + 1 if first else 0, last * target_rate // rate + 1)
+                if len(k):
+                    at = k * rate // target_rate
+                    share = ((k * rate - at * target_rate) / float(target_rate))[:, None]
+                    x = x.astype(np.float64)
+                    kept.append(i)
+                    out.append(((1 - share) * x[at - begin] + share * x[np.minimum(at + 1, last) - begin]).astype(np.float32).ravel())
+            if kept:
+                took = pa.array(kept, pa.int64())
+                made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in out])]).astype(np.int32)), pa.array(np.concatenate(out)))
+                own = {"samples": made, "sample_rate": pa.array(np.full(len(kept), target_rate, np.int32))}
+                yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c).take(took) for c in names], schema=kinds)
+
+    return rows.select(*names, "first", "__tail").mapInArrow(run, FRAME)
 
 
 def packet_loss_concealment(frames: DataFrame, max_gap: int = 3, attenuation: float = 0.7) -> DataFrame:
