@@ -458,7 +458,7 @@ def _run_links(nodes: DataFrame, turn: int, similarity: float, tokens: int, smal
     met = stored(chosen.join(shared, "path").select("node", "path", "n"))
     led, rows = _split(met.filter(F.col("n") > small), nodes, similarity, small, depth, branch, 2 * tokens * _MOST_TURNS)
     rows = rows.unionByName(met.filter(F.col("n") <= small))
-    rows = rows.withColumn("blocks", F.when(F.col("n") <= small, 1).otherwise(F.ceil(F.col("n") / (block * 4))).cast("int"))
+    rows = rows.withColumn("blocks", F.when(F.col("n") <= small, 1).otherwise(F.ceil(F.col("n") / (block * 2))).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("node", "path", F.explode(_pairs("blocks", "block")).alias("p")).select("node", "path", "p.i", "p.j")
     buckets = rows.join(nodes.select("node", "size", "sketch"), "node").repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
@@ -473,7 +473,7 @@ def linked_share(links: DataFrame) -> float:
     return 1.0 if not late else known / late
 
 
-def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: int = 6, small: int = 128, block: int = 256, depth: int = 3, branch: float = 2.0, target: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, tokens: int = 6, small: int = 128, block: int = 256, depth: int = 3, branch: float = 1.5, target: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, th, root (null: no shingles), class, n_links, class_size: a row per document."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
