@@ -280,6 +280,12 @@ def _guest_links(similarity: float):
     return run
 
 
+def _only(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Hardly more of ``nodes`` than ``rows`` name: what a join would move for nothing stays where it is."""
+    node_hash = F.xxhash64("node")
+    return maybe_in(nodes, node_hash, rows.select("node").distinct(), node_hash)
+
+
 _WIDE, _FEW = 1024, 4096
 _LINK = "a binary, b binary, late boolean"
 
@@ -307,6 +313,7 @@ def _split(hot: DataFrame, nodes: DataFrame, similarity: float, small: int, dept
     edges: list[DataFrame] = []
     done: list[DataFrame] = []
     live = hot
+    nodes = stored(_only(nodes.select("node", "sketch", "paths"), hot)) if hot.limit(1).count() else nodes
     for level in range(depth):
         large = live.filter(F.col("n") > small)
         if large.limit(1).count() == 0:
@@ -455,13 +462,14 @@ def _run_links(nodes: DataFrame, turn: int, similarity: float, tokens: int, smal
     begins = F.transform(F.filter(F.arrays_zip("paths", "turns"), lambda x: x["turns"] == turn), lambda x: x["paths"])
     chosen = nodes.select("node", F.explode(begins).alias("path"))
     shared = stored(chosen.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), small=True)
-    met = stored(chosen.join(shared, "path").select("node", "path", "n"))
+    path_hash = F.xxhash64("path")
+    met = stored(maybe_in(chosen, path_hash, shared, path_hash).join(shared, "path").select("node", "path", "n"))
     led, rows = _split(met.filter(F.col("n") > small), nodes, similarity, small, depth, branch, 2 * tokens * _MOST_TURNS)
     rows = rows.unionByName(met.filter(F.col("n") <= small))
     rows = rows.withColumn("blocks", F.when(F.col("n") <= small, 1).otherwise(F.ceil(F.col("n") / (block * 2))).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select("node", "path", F.explode(_pairs("blocks", "block")).alias("p")).select("node", "path", "p.i", "p.j")
-    buckets = rows.join(nodes.select("node", "size", "sketch"), "node").repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
+    buckets = rows.join(_only(nodes.select("node", "size", "sketch"), rows), "node").repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
     return reduce(DataFrame.unionByName, led, stored_map(buckets, _sketch_links(similarity), _LINK))
 
 
