@@ -434,3 +434,18 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
         placed.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert found == want
     assert all(sum(n for _, n in sorted(p)[:k]) == at and at + n <= 1024 for p in placed.values() for k, (at, n) in enumerate(sorted(p)))
+
+
+def test_what_operators_store_can_be_swept(spark):
+    import os
+
+    from wavelattice.llm import shared
+
+    rows = [(i, "a b c d e f g " * 9) for i in range(5)]
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")))
+    shared.sweep(spark)
+    assert substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), size=5, anchor=2).count() == 5
+    assert shared.sweep(spark) > 3 and shared.sweep(spark) == 0
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))) - before
+    assert not [x for x in left if x.startswith("wl-")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("wl_")]

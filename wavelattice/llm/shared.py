@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+#: Folders, and tables of the session's catalog, that this driver has made and not swept.
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set(_CONF, base)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/wl-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{base.rstrip('/')}/wl-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove all that operators have stored so far; results that still read it must have been written before. The number of folders."""
+    from pyarrow import fs
+
+    n = len(_FOLDERS)
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _FOLDERS:
+        system, path = fs.FileSystem.from_uri(_FOLDERS.pop())
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+    return n
 
 
 #: Where the shared folder is a mounted one, Hadoop's checksum layer starts a process (``chmod``) twice
@@ -121,6 +139,7 @@ def bucketed(df: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
     n = shuffle_parts(spark)
     name = "wl_" + uuid.uuid4().hex
     rows = df if dealt else df.repartition(n, *keys)
+    _TABLES.append(name)
     _writer(rows).option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
     return spark.table(name)
 
