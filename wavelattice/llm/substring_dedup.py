@@ -105,19 +105,19 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, self.runs)
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Index a batch (m, d, doc, th, n, at) whose documents come after all others; (m, d, first, first_th) of its fingerprints."""
-        own = batch.groupBy(*_KEYS).agg(F.min(F.struct("doc", "th", "n", "at")).alias("own"))
+        """Index a batch (m, d, doc, th, n, at) whose documents come after all others; (m, d, seen) of its fingerprints that any document has before, or two of its own have."""
+        own = batch.groupBy(*_KEYS).agg(F.min(F.struct("doc", "th", "n", "at")).alias("own"), F.count("*").alias("rows"))
         seen = own
         for k, run in enumerate(self.runs):  # one merge join a run
             seen = seen.join(run.select(*_KEYS, F.struct(F.col("first.doc").alias("doc"), F.col("first.th").alias("th")).alias(f"old{k}")), _KEYS, "left")
         old = [F.col(f"old{k}") for k in range(len(self.runs))]
         first = F.coalesce(*old, F.struct("own.doc", "own.th"))
         fresh = F.coalesce(*old).isNull() if old else F.lit(True)
-        found = bucketed(seen.select(*_KEYS, first.alias("seen"), F.col("own").alias("first"), fresh.alias("fresh")), _KEYS, dealt=True)
+        found = bucketed(seen.select(*_KEYS, first.alias("seen"), F.col("own").alias("first"), fresh.alias("fresh"), "rows"), _KEYS, dealt=True)
         self.runs.append(found.filter("fresh").select(*_KEYS, "first"))
         if len(self.runs) > self.fanout:
             self.runs, self.compactions = [bucketed(self.entries(), _KEYS)], self.compactions + 1
-        return found.select(*_KEYS, "seen")
+        return found.filter("NOT fresh OR rows > 1").select(*_KEYS, "seen")
 
 
 def _windows(size: int):
@@ -183,7 +183,8 @@ def dedup_substrings(docs: DataFrame, size: int = 50, anchor: int = 8, batches:
     for k in range(len(cuts) + 1):
         part = seen if not cuts else seen.filter(F.col("doc") >= int(cuts[k - 1])) if k == len(cuts) else seen.filter(F.col("doc") < int(cuts[0])) if not k else seen.filter((F.col("doc") >= int(cuts[k - 1])) & (F.col("doc") < int(cuts[k])))
         batch = part.select("doc", "th", F.explode("runs").alias("x")).select("doc", "th", "x.m", "x.d", "x.n", "x.at")
-        hits = batch.join(index.add(batch), _KEYS).filter((F.col("seen.doc") < F.col("doc")) | (F.col("seen.th") != F.col("th")))
+        repeated, key = stored(index.add(batch), small=True), F.xxhash64(*_KEYS)  # a join of two plain shuffles: a passage that many share is split there
+        hits = maybe_in(batch, key, repeated, key).join(repeated, _KEYS).filter((F.col("seen.doc") < F.col("doc")) | (F.col("seen.th") != F.col("th")))
         found.append(stored(hits.select("doc", "th", "m", "n", "at", (F.col("seen.doc") < F.col("doc")).alias("repeat"))))
     found = reduce(DataFrame.unionByName, found)
     entries = index.entries().select("m", "first.*")
